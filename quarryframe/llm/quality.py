@@ -104,11 +104,12 @@ def _waves(stats: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarr
     return np.concatenate([np.cos(z @ w + shift) * np.sqrt(2 / FEATURES), np.ones((len(stats), 1))], axis=1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing least-squares fit of y to x (pool adjacent violators)."""
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing least-squares fit of y to x, weighted by w (pool adjacent violators)."""
+    w = np.ones(len(x)) if w is None else w
     values, place = np.unique(x, return_inverse=True)
-    weights = np.bincount(place).astype(float)
-    means = np.bincount(place, weights=y) / weights
+    weights = np.bincount(place, weights=w)
+    means = np.bincount(place, weights=y * w) / weights
     blocks: list[list[float]] = []  # mean, weight, first x, last x
     for v, w, m in zip(values, weights, means, strict=True):
         blocks.append([m, w, v, v])

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from quarryframe.llm import bpe, langid, mixing, quality, secrets
+from quarryframe.llm import bpe, chat, langid, minhash, mixing, quality, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_minhash": minhash.query,
     "op2_bpe": bpe.query,
+    "op3_toxicity": toxicity.query,
     "op4_secrets": secrets.query,
+    "op5_chat": chat.query,
+    "op6_topk": topk.query,
     "op7_language": langid.query,
     "op9_quality": quality.query,
     "op10_mixing": mixing.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_chat": chat.SQL,
+    "op6_topk": topk.SQL,
+}
