@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryframe.llm import bpe, chat, langid, minhash, mixing, quality, secrets, topk, toxicity
+from quarryframe.llm import bpe, chat, langid, minhash, mixing, ngram_join, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat": chat.query,
     "op6_topk": topk.query,
     "op7_language": langid.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_quality": quality.query,
     "op10_mixing": mixing.query,
 }
