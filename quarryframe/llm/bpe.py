@@ -224,5 +224,27 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
 
 
+def token_ids(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """The kept columns with n_tokens, ids array<int> and exact: whether decoding gives the text back."""
+    content = docs.sparkSession.sparkContext.broadcast(_content(path))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c, counted, every, exact = codec(content.value), [], [], []
+        for texts in common.chunks(common.as_texts(batch.column("text"))):
+            ids, counts = c.encode(texts.to_pylist())
+            data, lengths = c.decode(ids)
+            raw, offs = common.raw(texts)
+            stops = np.concatenate([[0], np.cumsum(counts)])
+            whole = len(data) == len(raw) and bool((data == raw).all())
+            byte_stops = np.concatenate([[0], np.cumsum(lengths)])[stops]
+            exact += [whole or data[a:b].tobytes() == raw[x:y].tobytes() for a, b, x, y in zip(byte_stops[:-1], byte_stops[1:], offs[:-1], offs[1:], strict=True)]
+            counted.append(counts)
+            every.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.astype(np.int32))))
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.concatenate(counted), pa.int64()), pa.concat_arrays(every), pa.array(exact, pa.bool_())], [*keep, "n_tokens", "ids", "exact"])
+
+    kinds = dict(docs.dtypes)
+    return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), one, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["n_tokens long, ids array<int>, exact boolean"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"))

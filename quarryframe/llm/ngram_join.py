@@ -298,6 +298,9 @@ def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active, "doc_id").select("node", "text")
     tokens = common.materialise(_tokens_of(texts, n))
 
+    del dealt, cells, active, texts
+    common.release()
+
     # the star: each node against the node that leads most of its cells
     meets = members.where("node > pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
     star = meets.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
@@ -310,6 +313,8 @@ def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
     labelled = members.select("key", "node").join(up, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = common.materialise(labelled)
+    del meets, star
+    common.release(members, up)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 < l1").select("key", F.ceil(F.col("size") / CELL_BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rest = (
@@ -320,10 +325,14 @@ def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
         .select("key", "node", "label", (F.least("block", "with").cast("long") * F.col("blocks") + F.greatest("block", "with")).alias("part"), (F.col("block") < F.col("with")).cast("int").alias("half"))
     )
     pairs = common.materialise(_tree_pairs(rest.join(tokens.select("node", "point"), "node"), threshold))
-    links = close.unionByName(_verified(pairs, tokens, threshold))
+    del rest, mixed
+    common.release(labelled)
+    links = common.materialise(close.unionByName(_verified(pairs, tokens, threshold)))
+    common.release(close, pairs, tokens)
 
     groups = firsts.join(components(links), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("group"))
     groups = common.materialise(groups)
+    common.release(links)
     names = common.materialise(groups.groupBy("group").agg(F.min("first_id").alias("component_id")))
     final = common.materialise(groups.join(names, "group").select("node", "component_id"))
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -164,8 +164,8 @@ def train(sample: DataFrame) -> dict:
     return model
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with score, 0 to 1."""
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns with the score, 0 to 1, in a column of the given name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,10 +175,10 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
         else:
             x = _waves(_stats_of(batch), m["center"], m["scale"]) @ m["weights"]
             out = np.clip(np.interp(np.round(x, 6), *m["knots"]), 0, 1)
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.float64())], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.float64())], [*keep, name])
 
     kinds = dict(docs.dtypes)
-    return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), one, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double"]))
+    return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), one, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"`{name}` double"]))
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
