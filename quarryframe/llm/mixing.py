@@ -113,7 +113,7 @@ def allocate(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ("doc_id
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), batch.column("__mix_source"), n], [*names, "__mix_source", "__mix_size"])
 
         kinds = dict(docs.dtypes)
-        schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["_source string", "_size long"])
+        schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["__mix_source string", "__mix_size long"])
         return common.map_arrow(docs.select(*names, F.col("source").cast("string").alias("__mix_source"), F.col("text").alias("__mix_text")), one, schema)
 
     slice_: Column = F.pmod(F.xxhash64("__mix_id", F.lit(seed)), F.lit(SLICES))
