@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from quarryframe.llm import common, textops
+from quarryframe.llm import common, ngram_join, textops
 
 SLOTS, WORDS, SEED = 128, 5, 17
+#: Slots of a band: texts of similarity 0.8 share one of the 32 bands with a probability of 0.9999999.
+BAND = 4
 #: Bytes of text that one step handles: its hashes stay in the processor's cache.
 STEP = 1 << 17
+THRESHOLD = Fraction(4, 5)
 
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,5 +149,30 @@ def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return with_neighbours(docs, parts).select("peek", "doc_id", "text").mapInArrow(run, schema)
 
 
+class Bands:
+    """Names the cells of a set: its signature's bands."""
+
+    def keys(self, tokens: np.ndarray) -> np.ndarray:
+        least = np.full(SLOTS, _EMPTY)
+        for at in range(0, len(tokens), 4096):
+            some = tokens[at : at + 4096]
+            least = np.minimum(least, (some[None, :] * _A[:, None] + _B[:, None]).min(axis=1))
+        bands = textops.mix(least).reshape(-1, BAND)
+        place = np.arange(len(bands), dtype=np.uint64)
+        total = textops.mix(place + np.uint64(1))
+        for k in range(BAND):
+            total = textops.mix(total ^ bands[:, k])
+        return total.view(np.int64)
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id): classes of texts that links lead to.
+
+    Texts that share a band of their signatures meet in a Spark join, and their exact Jaccard similarity
+    decides; a text of a band's crowd is first compared with few others, and no pair within a class twice.
+    """
+    return ngram_join.connected(docs, ngram_join.sets_of(docs, words, Bands()), words, threshold)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited(common.table(spark, sf_dir, "documents"))
