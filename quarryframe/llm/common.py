@@ -42,14 +42,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that materialise() wrote and no later step reads, and lets Spark drop finished shuffles."""
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote and no later step reads."""
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
         conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/quarryframe-" in f}:
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """drop(), and lets Spark delete the files of shuffles that nothing refers to any more."""
+    drop(*tables)
     gc.collect()
     if spark := SparkSession.getActiveSession():
         spark.sparkContext._jvm.System.gc()

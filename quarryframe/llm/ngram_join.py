@@ -12,9 +12,11 @@ on a class of sizes; a document near the upper end of its class also goes to the
 Empty slices name cells only for documents that have more of them than spare slices.
 
 1. Equal sets are one node.  2. Cells with two nodes or more are kept.  3. Every node is verified against
-the one it meets in most cells (a star, so linear); links make first labels.  4. In each cell the R-tree
-finds the pairs of different labels whose bound allows a link; exact intersections verify them.  5. Links
-become components.  A large cell is cut into blocks, and its pairs of blocks are separate tasks.
+the one it meets in most cells (a star, so linear); the components of these links are the first labels.
+4. In each cell the R-tree finds the pairs of different labels whose bound allows a link: first only each
+node's nearest, which settles most of every group in linearly many pairs; then, with the labels that
+follow, all that are left.  Exact intersections verify them.  5. Links become components.  A large cell is
+cut into blocks, and its pairs of blocks are separate tasks.
 
 Nodes are known by a 64-bit hash of their sets, tokens by 64-bit hashes; below a hundred million distinct
 texts two of either meet by chance with a probability under a thousandth.
@@ -39,8 +41,10 @@ from pyspark.sql import functions as F
 
 from quarryframe.llm import common, textops
 
-#: Coordinates of a point; rows of a tree's leaf; nodes of a cell block that one task pairs.
+#: Coordinates of a point; rows of a tree's leaf; nodes of a cell block, of which a task pairs two.
 GROUPS, LEAF, CELL_BLOCK = 64, 32, 4096
+#: Edges of the graph of links that one task holds.
+EDGES_A_TASK = 200_000
 #: Growth of the size classes.
 CLASS_RATIO = 1.5
 
@@ -138,8 +142,8 @@ class Tree:
                     yield self.order[i[good]], self.order[j[good]]
 
 
-def sets_of(docs: DataFrame, n: int, slices: Slices) -> DataFrame:
-    """(doc_id, n_shingles, node, keys) of every row; node is null without tokens.
+def sets_of(docs: DataFrame, n: int, cells: Slices) -> DataFrame:
+    """(doc_id, n_shingles, node, keys) of every row; node is null without tokens.  cells.keys names a set's cells.
 
     In each task the first row of a node has the keys, later ones none: copies add nothing to the cells.
     """
@@ -154,7 +158,7 @@ def sets_of(docs: DataFrame, n: int, slices: Slices) -> DataFrame:
                     node = node_of(tokens) if len(tokens) else None
                     sizes.append(len(tokens))
                     nodes.append(node)
-                    keys.append(none if node in seen else slices.keys(tokens))
+                    keys.append(none if node in seen else cells.keys(tokens))
                     seen.add(node)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
 
@@ -191,10 +195,20 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: Fraction) -> DataF
     return both.where(same * threshold.denominator >= union * threshold.numerator).select("a", "b")
 
 
-def _tree_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
+def _nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) one for each i and one for each j, the likeliest."""
+    keep = np.zeros(len(i), bool)
+    for end in (i, j):
+        order = np.lexsort((-likeness, end))
+        keep[order[np.flatnonzero(np.diff(end[order], prepend=-1))]] = True
+    return i[keep], j[keep]
+
+
+def _tree_pairs(members: DataFrame, threshold: Fraction, nearest: bool) -> DataFrame:
     """Pairs (a, b) of nodes that the cells' trees leave, from (key, part, node, half, label, point).
 
-    Members of a cell come together, and a cell part has at most about two blocks of nodes.
+    Members of a cell come together, and a cell part has at most about two blocks of nodes.  nearest:
+    each node gives only the pair of the highest bound in a cell, so the pairs are no more than the rows.
     """
     schema = "a long, b long"
     p, q = threshold.numerator, threshold.denominator
@@ -202,7 +216,12 @@ def _tree_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
     def cell(nodes: np.ndarray, labels: np.ndarray, points: np.ndarray, halves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sizes = points.sum(axis=1)
         split = halves if halves.any() else None
-        for i, j in Tree(points, sizes).pairs(labels, threshold, split):
+        found = list(Tree(points, sizes).pairs(labels, threshold, split))
+        if found and nearest:
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            bound = np.concatenate([np.minimum(points[i[k : k + 4096]], points[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
+            found = [_nearest(i, j, bound / (sizes[i] + sizes[j]))]
+        for i, j in found:
             yield nodes[i], nodes[j]
 
     def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -254,23 +273,26 @@ def _tree_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links (a, b) lead to, for every node with a link.
+    """(node, component), written: the smallest node that links (a, b) lead to, for every node with a link.
 
-    Alternates large and small stars; every round writes its edges to the shared folder.
+    Alternates large and small stars; every round writes its edges to the shared folder, in as many tasks as
+    their number asks for.
     """
-    edges = common.materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    few = lambda df: common.materialise(df.coalesce(tasks))
+    tasks = max(1, -(-links.count() // EDGES_A_TASK))
+    edges = few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = None
     while True:
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u and its smaller neighbours go to the least of them
-        large = large.where("u > v").distinct()
-        large = common.materialise(large)
-        least = common.materialise(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        lowest = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = few(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        common.drop(edges, least, large, lowest)
+        edges = after
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("d")).first()
         if before == now and now["n"] == now["d"]:
             break
@@ -278,15 +300,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, part, half) of the members of cells with two labels or more, a row a cell part."""
+    labelled = common.materialise(members.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 < l1").select("key", F.ceil(F.col("size") / CELL_BLOCK).cast("int").alias("blocks"))
+    return (
+        labelled.join(mixed, "key")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # a pair of different blocks has the lower one as one half; a block with itself has no halves
+        .select("key", "node", "label", (F.least("block", "with").cast("long") * F.col("blocks") + F.greatest("block", "with")).alias("part"), (F.col("block") < F.col("with")).cast("int").alias("half"))
+    )
+
+
 def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Two rows link when their sets of n-word shingles have Jaccard similarity of threshold or more;
     component_id is the smallest doc_id that links lead to, the row's own included.
     """
+    return connected(docs, sets_of(docs, n, Slices(threshold)), n, threshold)
+
+
+def connected(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """linked(), with cells given: found is (doc_id, n_shingles, node, keys), and links are sought in cells only."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
-    sets = common.materialise(sets_of(docs, n, Slices(threshold)))
+    sets = common.materialise(found)
     firsts = common.materialise(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")))
 
     dealt = sets.where("node is not null").select(F.explode("keys").alias("key"), "node").repartition(parts, "key")
@@ -304,35 +344,23 @@ def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     # the star: each node against the node that leads most of its cells
     meets = members.where("node > pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
     star = meets.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
-    close = common.materialise(_verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), tokens, threshold))
-    up = close.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    for _ in range(2):  # labels of labels: nodes of one label are linked, if not all linked ones share one
-        above = up.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        up = up.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
-    up = common.materialise(up)
-
-    labelled = members.select("key", "node").join(up, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    labelled = common.materialise(labelled)
-    del meets, star
-    common.release(members, up)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 < l1").select("key", F.ceil(F.col("size") / CELL_BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rest = (
-        labelled.join(mixed, "key")
-        .withColumn("block", block)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # a pair of different blocks has the lower one as one half; a block with itself has no halves
-        .select("key", "node", "label", (F.least("block", "with").cast("long") * F.col("blocks") + F.greatest("block", "with")).alias("part"), (F.col("block") < F.col("with")).cast("int").alias("half"))
-    )
-    pairs = common.materialise(_tree_pairs(rest.join(tokens.select("node", "point"), "node"), threshold))
-    del rest, mixed
-    common.release(labelled)
-    links = common.materialise(close.unionByName(_verified(pairs, tokens, threshold)))
-    common.release(close, pairs, tokens)
-
-    groups = firsts.join(components(links), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("group"))
+    links = common.materialise(_verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), tokens, threshold))
+    labels = components(links)
+
+    # the trees: first each node's nearest in a cell, then, with what that has joined, all pairs of different labels
+    for nearest in (True, False):
+        rest = _unsettled(members.select("key", "node"), labels)
+        pairs = common.materialise(_tree_pairs(rest.join(tokens.select("node", "point"), "node"), threshold, nearest))
+        found = common.materialise(links.unionByName(_verified(pairs, tokens, threshold)))
+        del rest
+        common.release(links, labels, pairs)
+        links = found
+        labels = components(links)
+    common.release(members, tokens, links)
+
+    groups = firsts.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("group"))
     groups = common.materialise(groups)
-    common.release(links)
+    common.release(labels)
     names = common.materialise(groups.groupBy("group").agg(F.min("first_id").alias("component_id")))
     final = common.materialise(groups.join(names, "group").select("node", "component_id"))
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
