@@ -1,8 +1,8 @@
 """Toxicity (operator 3): nearest labelled examples by exact TF-IDF cosine.
 
-Terms are bare lower-case words and their first 4, 5 and 6 bytes.  The vocabulary holds the terms that a
-bounded sample of labelled texts shows far more often in one class; document frequencies come from
-every document.  Examples stand in blocks of an inverted index that knows, for each term, a block's
+Terms are bare lower-case words and their first 4 to 8 bytes, and each once more where it stands 2, 3 or 5 times.  The vocabulary holds the terms that a
+bounded sample of labelled texts shows far more often under label 1, near copies counting once; document
+frequencies come from every document.  Examples stand in blocks of an inverted index that knows, for each term, a block's
 largest weight: blocks are visited by the sum of these bounds until it falls below the k-th similarity,
 so the neighbours are exact.  Their votes, weighted by squared similarity, are calibrated by isotonic
 regression on labelled rows that are no examples; the nearest examples are the evidence.
@@ -21,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryframe.llm import common, quality, textops
+from quarryframe.llm import common, minhash, quality, textops
 
 #: Bounds on labelled rows (half of each label; a quarter calibrates) and on the vocabulary.
 SAMPLE, VOCABULARY = 8_000, 2_048
-NEIGHBOURS, BLOCK, PREFIXES, SEED = 12, 64, (4, 5, 6), 13
+NEIGHBOURS, BLOCK, PREFIXES, SEED = 16, 64, (4, 5, 6, 7, 8), 13
+#: A term that a text has this often is another term besides.
+LEVELS = (2, 3, 5)
 #: A term needs this chi-square (one degree of freedom), this ratio of its rates, and this many texts.
-LEAST_CHI2, LEAST_RATIO, LEAST_TEXTS = 30.0, 6.0, 4
+LEAST_CHI2, LEAST_RATIO, LEAST_TEXTS = 20.0, 8.0, 4
 THRESHOLD = 0.7
 
 
 def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms and their text index."""
+    """Hashes of all terms, as often as they stand there, and their text index."""
     low = textops.LOWER[data]
     starts, ends, owner = textops.word_bounds(low, offs, textops.NOT_BARE)
     every, owners = [textops.span_hashes(low, starts, ends)], [owner]
@@ -40,7 +42,14 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts > n
         every.append(textops.mix(textops.span_hashes(low, starts[long], starts[long] + n) + np.uint64(n)))
         owners.append(owner[long])
-    return np.concatenate(every), np.concatenate(owners)
+    flat, own = np.concatenate(every), np.concatenate(owners)
+    order = np.lexsort((flat, own))
+    flat, own = flat[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])])) if len(flat) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(flat)))
+    more = [starts[counts >= n] for n in LEVELS]
+    often = [textops.mix(flat[at] + np.uint64(1000 + n)) for n, at in zip(LEVELS, more, strict=True)]
+    return np.concatenate([flat, *often]), np.concatenate([own, *(own[at] for at in more)])
 
 
 def _lookup(vocabulary: np.ndarray, hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +109,27 @@ def vote(index: Index, terms_: np.ndarray, weights: np.ndarray) -> tuple[float,
     return round(float(square @ index.labels[rows] / square.sum()), 9), [(index.ids[r], float(s)) for s, r in zip(sims[:3], rows[:3], strict=True)]
 
 
+def distinct_rows(texts: pa.Array, y: np.ndarray) -> np.ndarray:
+    """The first row of each group of near copies of one label, by shared bands of MinHash signatures."""
+    bands = textops.mix(minhash.signatures(texts)).reshape(len(texts), -1, minhash.BAND)
+    first: dict[tuple, int] = {}
+    keep = []
+    for i, row in enumerate(bands):
+        names = [(y[i], b, *band.tolist()) for b, band in enumerate(row)]
+        if not any(n in first for n in names):
+            keep.append(i)
+        for n in names:
+            first.setdefault(n, i)
+    return np.array(keep, np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # driver-side work on a bounded sample; copies of a text count once
     rows = common.labelled_sample(docs, labels, "toxic", sample, SEED).orderBy("doc_id", "text").toPandas()
     rows["text"] = rows["text"].fillna("")
     rows = rows.drop_duplicates("text").reset_index(drop=True)
+    if len(rows):
+        rows = rows.iloc[distinct_rows(pa.array(rows["text"], pa.large_string()), rows["y"].to_numpy())].reset_index(drop=True)
     y = rows["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y[0]) if len(y) else 0.0}
@@ -129,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     both = (in1 + in0) / (n1 + n0)
     chi2 = (in1 / n1 - in0 / n0) ** 2 / np.maximum(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12)
     ratio = ((in1 + 0.5) / n1) / ((in0 + 0.5) / n0)
-    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (np.maximum(ratio, 1 / ratio) >= LEAST_RATIO) & (in1 + in0 >= LEAST_TEXTS))
+    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (ratio >= LEAST_RATIO) & (in1 + in0 >= LEAST_TEXTS))
     vocabulary = np.sort(names[good[np.lexsort((names[good], -chi2[good]))[:VOCABULARY]]])
     if not len(vocabulary):
         return {"constant": prior}
