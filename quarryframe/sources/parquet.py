@@ -27,7 +27,7 @@ def read_parquet(spark: SparkSession, path: str, compat: bool = False) -> DataFr
 
 def _plain(kind: pa.DataType) -> tuple[pa.DataType, str | None]:
     """The Arrow type that Spark takes, and the logical name to keep."""
-    if isinstance(kind, pa.ExtensionType):
+    if isinstance(kind, pa.BaseExtensionType):
         return (pa.string(), "uuid") if kind.extension_name == "arrow.uuid" else _plain(kind.storage_type)
     if pa.types.is_float16(kind):
         return pa.float32(), "f16"
