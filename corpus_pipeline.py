@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryframe.llm import bpe, common, mixing, ngram_join, quality, secrets
@@ -33,10 +33,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.linked(docs, WORDS, SIMILARITY)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    one = known.withColumn("__row", F.row_number().over(same_id)).where("__row = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    # rows of one id meet in an aggregate, which combines before it shuffles
+    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    known = one.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").select("__row.*")
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
