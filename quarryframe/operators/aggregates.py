@@ -30,13 +30,26 @@ def narrowed(c: Column, field: T.StructField) -> Column:
     return c.cast(field.dataType)
 
 
-def product(c: Column, field: T.StructField) -> Column:
-    """The exact product of integers, as decimal; of floats, as double."""
-    if types.is_float(field):
-        return F.coalesce(F.product(c.cast("double")), F.lit(1.0)).cast(field.dataType)
-    # values meet by distinct value first, so the list holds one row a value
-    step = F.reduce(F.collect_list(c.cast("decimal(38,0)")), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
-    return narrowed(step, field)
+def product(c: Column, field: T.StructField, exact_only: bool = False) -> Column:
+    """The product, exact for integers, as the column's type; exact_only: as decimal(38,0), in any range."""
+    if by_double(field):
+        return F.coalesce(F.product(c.cast("double")), F.lit(1.0)).cast("double" if exact_only else field.dataType)
+    # zeros and signs are counted; only factors of 2 and more are listed, and 127 of them overflow any type
+    size = F.abs(c.cast("decimal(38,0)"))
+    total = factors(F.collect_list(F.when(size >= 2, size)))
+    sign = F.when(F.count_if(c < 0) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(38,0)")
+    exact = F.when(F.count_if(c == 0) > 0, F.lit(0)).otherwise((total * sign).cast("decimal(38,0)"))
+    return exact if exact_only else narrowed(exact, field)
+
+
+def by_double(field: T.StructField) -> bool:
+    """Whether products go through doubles: floats, and decimals with fractions."""
+    return types.is_float(field) or types.label(field) == "decimal"
+
+
+def factors(values: Column) -> Column:
+    """The product of an array of decimals; beyond 38 digits raises."""
+    return F.reduce(values, F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
 
 
 def aggregate(df: DataFrame, name: str, how: str, q: float = 0.5, order: Sequence[str] = ()) -> Column:
@@ -86,7 +99,7 @@ def grouped(df: DataFrame, keys: str | Sequence[str], aggregates: dict[str, tupl
     names = [keys] if isinstance(keys, str) else list(keys)
     for n in names:
         types.field_of(df, n)
-    present = df.dropna(how="any", subset=[]) if not names else df.where(_all_present(names))
+    present = df.where(_all_present(names))
     return present.groupBy(*(quoted(n) for n in names)).agg(*(aggregate(df, c, how, q, order).alias(n) for n, (c, how) in aggregates.items()))
 
 

@@ -7,6 +7,7 @@ no task sees all rows.  Null cells stay null and pass a running value on.
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from quarryframe import types
 from quarryframe.errors import FrameError
-from quarryframe.operators.aggregates import narrowed
+from quarryframe.operators.aggregates import by_double, factors, narrowed, product
 from quarryframe.operators.rows import ascending, quoted, with_position, with_ranges
 
 
@@ -32,22 +33,33 @@ def cumulative(df: DataFrame, name: str, how: str, order: Sequence[str], partiti
     ranged = df.withColumn("__range", F.lit(0)) if partition_by else with_ranges(df, order)
     upto = Window.partitionBy("__range", *(quoted(p) for p in partition_by)).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     exact = _exact(c, field)
-    one = F.lit(1).cast("double" if types.is_float(field) else "decimal(38,0)")
+    wide = "double" if by_double(field) else "decimal(38,0)"
+    one = F.lit(1).cast(wide)
 
     def times(a: Column, x: Column) -> Column:
-        return (a * x).cast("double" if types.is_float(field) else "decimal(38,0)")
+        return (a * x).cast(wide)
 
     running = {
         "sum": lambda: F.sum(exact).over(upto),
         "min": lambda: F.min(c).over(upto),
         "max": lambda: F.max(c).over(upto),
-        "prod": lambda: F.product(exact).over(upto) if types.is_float(field) else F.reduce(F.collect_list(exact).over(upto), one, times),
+        "prod": lambda: F.product(c.cast("double")).over(upto) if by_double(field) else _running_product(c, exact, upto),
     }[how]()
+    if how == "prod" and not by_double(field):
+        ranged = ranged.withColumn("__zeros", F.count_if(c == 0).over(upto))
     if not partition_by:
         running = _carried(ranged, c, exact, field, how, running, times, one)
     value = F.when(c.isNotNull(), running)
     kept = value.cast(field.dataType) if types.is_float(field) or how in ("min", "max") else narrowed(value, field) if types.label(field) != "decimal" else value.cast(field.dataType)
-    return ranged.withColumn(new or name, kept).drop("__range")
+    return ranged.withColumn(new or name, kept).drop("__range", "__zeros")
+
+
+def _running_product(c: Column, exact: Column, upto) -> Column:
+    """Factors before the first zero, of 2 and more: never more than fit; __zeros counts the zeros so far."""
+    size = F.abs(exact)
+    big = F.collect_list(F.when((size >= 2) & (F.col("__zeros") == 0), size)).over(upto)
+    sign = F.when(F.count_if(c < 0).over(upto) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(38,0)")
+    return F.when(F.col("__zeros") > 0, F.lit(0)).otherwise((factors(big) * sign).cast("decimal(38,0)"))
 
 
 def _carried(ranged: DataFrame, c: Column, exact: Column, field: T.StructField, how: str, running: Column, times, one: Column) -> Column:
@@ -56,17 +68,18 @@ def _carried(ranged: DataFrame, c: Column, exact: Column, field: T.StructField,
         "sum": lambda: F.sum(exact),
         "min": lambda: F.min(c),
         "max": lambda: F.max(c),
-        "prod": lambda: F.product(exact) if types.is_float(field) else F.reduce(F.collect_list(exact), one, times),
+        "prod": lambda: product(c, field, exact_only=True),
     }[how]()
     rows = {r["__range"]: r["v"] for r in ranged.groupBy("__range").agg(total.alias("v")).collect()}  # a row a range
     combine = {"sum": lambda a, b: a + b, "min": min, "max": max, "prod": lambda a, b: a * b}[how]
     before, state = {}, None
-    for r in range(max(rows, default=0) + 1):
-        before[r] = state
-        v = rows.get(r)
-        if v is not None:
-            state = v if state is None else combine(state, v)
-    kind = "double" if types.is_float(field) and how in ("sum", "prod") else "decimal(38,0)" if how in ("sum", "prod") and types.label(field) != "decimal" else "decimal(38," + str(getattr(field.dataType, "scale", 0)) + ")" if how == "sum" else field.dataType.simpleString()
+    with decimal.localcontext(prec=80):
+        for r in range(max(rows, default=0) + 1):
+            before[r] = state
+            v = rows.get(r)
+            if v is not None:
+                state = v if state is None else combine(state, v)
+    kind = "double" if by_double(field) and how == "prod" or types.is_float(field) and how == "sum" else "decimal(38,0)" if how in ("sum", "prod") and types.label(field) != "decimal" else "decimal(38," + str(getattr(field.dataType, "scale", 0)) + ")" if how == "sum" else field.dataType.simpleString()
     carried = F.get(F.array(*(F.lit(before[r]).cast(kind) for r in sorted(before))), F.col("__range")) if before else F.lit(None)
     return {
         "sum": lambda: running + F.coalesce(carried, F.lit(0).cast(kind)),

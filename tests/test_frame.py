@@ -90,6 +90,11 @@ def test_positional(spark):
     assert cells(f.cumulative("x", "max"), "x") == [1, None, 3, 3]
     assert cells(f.cumulative("x", "min"), "x") == [1, None, 1, 1]
     assert cells(f.cumulative("x", "prod"), "x") == [1, None, 3, 6]
+    signs = frame(spark, [(2,), (-3,), (None,), (1,), (0,), (5,)], "x int")
+    assert cells(signs.cumulative("x", "prod"), "x") == [2, -6, None, -6, 0, 0]
+    assert signs.aggregate("x", "prod") == 0 and signs.drop_row(4).aggregate("x", "prod") == -30
+    halves = Frame(signs.df.withColumn("x", (F.col("x") / 2).cast("decimal(9,2)")), ["i"])
+    assert cells(halves.cumulative("x", "prod"), "x")[1] == decimal.Decimal("-1.50")
     assert cells(f.shift("x", 1), "x") == [None, 1, None, 3]
     assert cells(f.shift("x", -9), "x") == [None] * 4
     assert cells(f.shift("x", 0), "x") == [1, None, 3, 2]
