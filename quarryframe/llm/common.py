@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,11 +54,17 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(*tables: DataFrame) -> None:
-    """drop(), and lets Spark delete the files of shuffles that nothing refers to any more."""
+    """drop(), and lets Spark delete the files of shuffles that nothing refers to any more.
+
+    Spark's cleaner works on what the JVM has collected, which holds what Python has let go a moment before;
+    so both collect twice.
+    """
     drop(*tables)
-    gc.collect()
     if spark := SparkSession.getActiveSession():
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

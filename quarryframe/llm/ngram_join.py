@@ -13,9 +13,9 @@ Empty slices name cells only for documents that have more of them than spare sli
 
 1. Equal sets are one node.  2. Cells with two nodes or more are kept.  3. Every node is verified against
 the one it meets in most cells (a star, so linear); the components of these links are the first labels.
-4. In each cell the R-tree finds the pairs of different labels whose bound allows a link: first only each
-node's nearest, which settles most of every group in linearly many pairs; then, with the labels that
-follow, all that are left.  Exact intersections verify them.  5. Links become components.  A large cell is
+4. In each cell the R-tree finds the pairs of different labels whose bound allows a link: in the first rounds
+only each node's nearest, which settles most of every group in linearly many pairs; then, with the labels
+that follow, all that are left.  Exact intersections verify them.  5. Links become components.  A large cell is
 cut into blocks, and its pairs of blocks are separate tasks.
 
 Nodes are known by a 64-bit hash of their sets, tokens by 64-bit hashes; below a hundred million distinct
@@ -41,8 +41,10 @@ from pyspark.sql import functions as F
 
 from quarryframe.llm import common, textops
 
-#: Coordinates of a point; rows of a tree's leaf; nodes of a cell block, of which a task pairs two.
-GROUPS, LEAF, CELL_BLOCK = 64, 32, 4096
+#: Coordinates of a point (more for sets of more than eight tokens a group); rows of a tree's leaf; nodes of a cell block, of which a task pairs two.
+GROUPS, LEAF, CELL_BLOCK = 128, 32, 4096
+#: Rounds that verify only each node's nearest, before the one that verifies all that is left.
+NEAREST_ROUNDS = 2
 #: Edges of the graph of links that one task holds.
 EDGES_A_TASK = 200_000
 #: Growth of the size classes.
@@ -88,12 +90,28 @@ class Slices:
             empty = np.flatnonzero(held == 0)
             dropped = empty[max(0, len(empty) - self.spare[c]) :]
             out.append(np.delete(cell, dropped))
-        return np.concatenate(out).view(np.int64)
+        # 48 bits: the rest would cost shuffle, and a chance meeting only a vain comparison
+        return (np.concatenate(out) >> np.uint64(16)).view(np.int64)
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts of the tokens by group."""
-    return np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts of the tokens by group; groups are ranges of the hash, so that halving their number adds neighbours.
+
+    A long text has a group for every eight tokens or so: with more in a group, the bound would tell nothing.
+    """
+    bits = max(GROUPS.bit_length() - 1, (len(tokens) // 8).bit_length())
+    return np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def folded(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Points of different resolution, one after the other in flat, as rows of the coarsest one."""
+    least = int(lengths.min())
+    out = np.empty((len(starts), least), np.int32)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        values = flat[textops.expand(starts[rows], lengths[rows])]
+        out[rows] = values.reshape(len(rows), least, n // least).sum(axis=2, dtype=np.int32)
+    return out
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -195,81 +213,97 @@ def _verified(pairs: DataFrame, tokens: DataFrame, threshold: Fraction) -> DataF
     return both.where(same * threshold.denominator >= union * threshold.numerator).select("a", "b")
 
 
-def _nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs (i, j) one for each i and one for each j, the likeliest."""
     keep = np.zeros(len(i), bool)
     for end in (i, j):
         order = np.lexsort((-likeness, end))
         keep[order[np.flatnonzero(np.diff(end[order], prepend=-1))]] = True
-    return i[keep], j[keep]
+    return i[keep], j[keep], likeness[keep]
 
 
 def _tree_pairs(members: DataFrame, threshold: Fraction, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes that the cells' trees leave, from (key, part, node, half, label, point).
+    """Pairs (a, b, likeness), with the bound on the similarity, of nodes that the cells' trees leave, from (key, part, node, half, label, point).
 
     Members of a cell come together, and a cell part has at most about two blocks of nodes.  nearest:
     each node gives only the pair of the highest bound in a cell, so the pairs are no more than the rows.
     """
-    schema = "a long, b long"
+    schema = "a long, b long, likeness double"
     p, q = threshold.numerator, threshold.denominator
 
-    def cell(nodes: np.ndarray, labels: np.ndarray, points: np.ndarray, halves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = points.sum(axis=1)
-        split = halves if halves.any() else None
-        found = list(Tree(points, sizes).pairs(labels, threshold, split))
-        if found and nearest:
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            bound = np.concatenate([np.minimum(points[i[k : k + 4096]], points[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
-            found = [_nearest(i, j, bound / (sizes[i] + sizes[j]))]
-        for i, j in found:
-            yield nodes[i], nodes[j]
+    def likeness(points: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        steps = range(0, len(i), 1024)
+        return np.concatenate([np.zeros(0), *(np.minimum(x, y).sum(axis=1) / (x.sum(axis=1) + y.sum(axis=1)) for x, y in ((points[i[k : k + 1024]], points[j[k : k + 1024]]) for k in steps))])
+
+    def pairs_of_two(rows: dict[str, np.ndarray], small: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A tree of two points is one sum; cells are taken together by their points' resolution."""
+        small = small[rows["label"][small] != rows["label"][small + 1]]
+        least = np.minimum(rows["length"][small], rows["length"][small + 1])
+        for n in np.unique(least):
+            for part in np.array_split(small[least == n], max(1, int((least == n).sum() * n >> 20))):
+                both = np.stack([part, part + 1], axis=1).ravel()
+                points = folded(rows["flat"], rows["start"][both], rows["length"][both])
+                like = likeness(points, np.arange(0, len(both), 2), np.arange(1, len(both), 2))
+                good = like >= p / (p + q) - 1e-9
+                yield part[good], part[good] + 1, like[good]
 
     def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs of whole cells."""
-        key = rows["cell"]
+        key, nodes = rows["cell"], rows["node"]
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
         lengths = np.diff(np.append(starts, len(key)))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        small = starts[lengths == 2]  # a tree of two points is one sum
-        if len(small):
-            i, j = small, small + 1
-            bound = np.minimum(rows["point"][i], rows["point"][j]).sum(axis=1)
-            total = rows["point"][i].sum(axis=1) + rows["point"][j].sum(axis=1)
-            good = (rows["label"][i] != rows["label"][j]) & (bound * (p + q) >= p * total)
-            found.append((rows["node"][i[good]], rows["node"][j[good]]))
+        found = list(pairs_of_two(rows, starts[lengths == 2]))
         for s, n in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
-            found += cell(*(rows[c][s : s + n] for c in ("node", "label", "point", "half")))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            here = slice(s, s + n)
+            if (rows["label"][here] == rows["label"][s]).all():
+                continue
+            halves = rows["half"][here]
+            points = folded(rows["flat"], rows["start"][here], rows["length"][here])
+            pairs = list(Tree(points, points.sum(axis=1)).pairs(rows["label"][here], threshold, halves if halves.any() else None))
+            if pairs:
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                like = likeness(points, i, j)
+                if nearest:
+                    i, j, like = _nearest(i, j, like)
+                found.append((i + s, j + s, like))
+        if not found:
+            return
+        i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+        order = np.lexsort((b, a))
+        first = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])] if len(order) else order
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(like[first])], ["a", "b", "likeness"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            raw = batch.column("point").to_pylist()
             now = {
                 "cell": np.stack([batch.column("key").to_numpy(), batch.column("part").to_numpy()], axis=1),
                 "node": batch.column("node").to_numpy(),
                 "label": batch.column("label").to_numpy(),
                 "half": batch.column("half").to_numpy(),
-                "point": np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS),
+                "length": np.array([len(x) // 2 for x in raw], np.int64),
             }
+            flat = np.frombuffer(b"".join(raw), np.uint16)
             if held:
+                flat = np.concatenate([held.pop("flat"), flat])
                 now = {k: np.concatenate([held[k], v]) for k, v in now.items()}
+            now["start"] = np.cumsum(now["length"]) - now["length"]
             last = np.flatnonzero((now["cell"] != now["cell"][-1]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield from flush({k: v[:cut] for k, v in now.items()})
-            held = {k: v[cut:].copy() for k, v in now.items()}
+                yield from flush({k: v[:cut] for k, v in now.items()} | {"flat": flat})
+            held = {k: v[cut:].copy() for k, v in now.items() if k != "start"} | {"flat": flat[now["start"][cut] :].copy()}
         if held:
-            yield from flush(held)
+            yield from flush(held | {"start": np.cumsum(held["length"]) - held["length"]})
 
     spark = members.sparkSession
     dealt = members.repartition(common.partitions(spark), "key", "part").sortWithinPartitions("key", "part", "node")
-    return dealt.select("key", "part", "node", "label", "half", "point").mapInArrow(run, schema).distinct()
+    return dealt.select("key", "part", "node", "label", "half", "point").mapInArrow(run, schema).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -300,17 +334,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, part, half) of the members of cells with two labels or more, a row a cell part."""
+def _best_of_each(pairs: DataFrame) -> DataFrame:
+    """The likeliest pair (a, b) of every node: no more pairs than nodes."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("likeness", "a", "b").alias("pair"))
+    return ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label, part, half) of the members of cells with two labels or more, a row a cell part; the table it reads."""
     labelled = common.materialise(members.join(labels.withColumnRenamed("component", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 < l1").select("key", F.ceil(F.col("size") / CELL_BLOCK).cast("int").alias("blocks"))
-    return (
+    rest = (
         labelled.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # a pair of different blocks has the lower one as one half; a block with itself has no halves
         .select("key", "node", "label", (F.least("block", "with").cast("long") * F.col("blocks") + F.greatest("block", "with")).alias("part"), (F.col("block") < F.col("with")).cast("int").alias("half"))
     )
+    return rest, labelled
 
 
 def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -333,30 +374,41 @@ def connected(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) ->
     cells = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
     members = common.materialise(dealt.join(cells, "key").select("key", "node", "pivot").distinct())
 
+    narrow = common.materialise(sets.select("doc_id", "n_shingles", "node"))
+    del dealt, cells
+    common.release(sets)
+
     # points and tokens of the nodes that share a cell, from one text each
     active = members.select("node").distinct().join(firsts, "node").where("first_id is not null").select("node", F.col("first_id").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active, "doc_id").select("node", "text")
     tokens = common.materialise(_tokens_of(texts, n))
-
-    del dealt, cells, active, texts
+    del active, texts
     common.release()
 
     # the star: each node against the node that leads most of its cells
     meets = members.where("node > pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
     star = meets.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
-    links = common.materialise(_verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), tokens, threshold))
+    tested = common.materialise(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+    links = common.materialise(_verified(tested, tokens, threshold))
+    del meets, star
+    common.release()
     labels = components(links)
 
-    # the trees: first each node's nearest in a cell, then, with what that has joined, all pairs of different labels
-    for nearest in (True, False):
-        rest = _unsettled(members.select("key", "node"), labels)
-        pairs = common.materialise(_tree_pairs(rest.join(tokens.select("node", "point"), "node"), threshold, nearest))
-        found = common.materialise(links.unionByName(_verified(pairs, tokens, threshold)))
+    # the trees: first each node's nearest only, then, with what that has joined, all pairs of different labels
+    for round_ in range(NEAREST_ROUNDS + 1):
+        rest, written = _unsettled(members.select("key", "node"), labels)
+        pairs = _tree_pairs(rest.join(tokens.select("node", "point"), "node"), threshold, round_ < NEAREST_ROUNDS)
+        pairs = common.materialise(pairs.join(tested, ["a", "b"], "left_anti"))
+        todo = pairs if round_ == NEAREST_ROUNDS else _best_of_each(pairs)
+        todo = common.materialise(todo.select("a", "b"))
         del rest
-        common.release(links, labels, pairs)
-        links = found
+        common.release(written, pairs)
+        found = common.materialise(links.unionByName(_verified(todo, tokens, threshold)))
+        every = common.materialise(tested.unionByName(todo))
+        common.release(links, labels, todo, tested)
+        links, tested = found, every
         labels = components(links)
-    common.release(members, tokens, links)
+    common.release(members, tokens, links, tested)
 
     groups = firsts.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("group"))
     groups = common.materialise(groups)
@@ -364,7 +416,7 @@ def connected(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) ->
     names = common.materialise(groups.groupBy("group").agg(F.min("first_id").alias("component_id")))
     final = common.materialise(groups.join(names, "group").select("node", "component_id"))
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return sets.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    return narrow.join(final, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
