@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from quarryframe.llm import common, minhash, quality, textops
 
 #: Bounds on labelled rows (half of each label; a quarter calibrates) and on the vocabulary.
-SAMPLE, VOCABULARY = 8_000, 2_048
+SAMPLE, VOCABULARY = 6_000, 1_024
+#: Parts of the terms, by hash, that training counts one after the other.
+PASSES = 8
 NEIGHBOURS, BLOCK, PREFIXES, SEED = 16, 64, (4, 5, 6, 7, 8), 13
 #: A term that a text has this often is another term besides.
 LEVELS = (2, 3, 5)
 #: A term needs this chi-square (one degree of freedom), this ratio of its rates, and this many texts.
-LEAST_CHI2, LEAST_RATIO, LEAST_TEXTS = 20.0, 8.0, 4
+LEAST_CHI2, LEAST_RATIO, LEAST_TEXTS = 20.0, 10.0, 4
 THRESHOLD = 0.7
 
 
@@ -112,14 +114,15 @@ def vote(index: Index, terms_: np.ndarray, weights: np.ndarray) -> tuple[float,
 def distinct_rows(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     """The first row of each group of near copies of one label, by shared bands of MinHash signatures."""
     bands = textops.mix(minhash.signatures(texts)).reshape(len(texts), -1, minhash.BAND)
-    first: dict[tuple, int] = {}
+    names = textops.mix(np.arange(bands.shape[1], dtype=np.uint64)[None, :] * np.uint64(2) + y.astype(np.uint64)[:, None])
+    for k in range(minhash.BAND):
+        names = textops.mix(names ^ bands[:, :, k])
+    seen: set[int] = set()
     keep = []
-    for i, row in enumerate(bands):
-        names = [(y[i], b, *band.tolist()) for b, band in enumerate(row)]
-        if not any(n in first for n in names):
+    for i, row in enumerate(names.tolist()):
+        if seen.isdisjoint(row):
             keep.append(i)
-        for n in names:
-            first.setdefault(n, i)
+        seen.update(row)
     return np.array(keep, np.int64)
 
 
@@ -133,28 +136,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     y = rows["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y[0]) if len(y) else 0.0}
+    if min(y[np.arange(len(y)) % 4 != 3].sum(), (1 - y[np.arange(len(y)) % 4 != 3]).sum()) == 0:
+        return {"constant": float(y.mean())}
     known = labels.where(common.fold("doc_id", 3) != 1).groupBy(F.col("toxic").cast("int").alias("y")).count().where("y in (0, 1)").collect()
     rate = {r["y"]: r["count"] for r in known}
     prior = rate.get(1, 0) / max(1, sum(rate.values()))
     calibrates = np.arange(len(y)) % 4 == 3
     texts = pa.array(rows["text"], pa.large_string())
 
-    cells = []
-    at = 0
-    for part in common.chunks(texts):
-        hashes, own = terms(*common.raw(part))
-        cells.append(np.unique(np.stack([hashes, (own + at).astype(np.uint64)], axis=1), axis=0))
-        at += len(part)
-    found = np.concatenate(cells)
-    found = found[~calibrates[found[:, 1].astype(np.int64)]]
-    names, place = np.unique(found[:, 0], return_inverse=True)
     n1, n0 = y[~calibrates].sum(), (1 - y[~calibrates]).sum()
-    in1 = np.bincount(place, weights=y[found[:, 1].astype(np.int64)])
-    in0 = np.bincount(place) - in1
-    both = (in1 + in0) / (n1 + n0)
-    chi2 = (in1 / n1 - in0 / n0) ** 2 / np.maximum(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12)
-    ratio = ((in1 + 0.5) / n1) / ((in0 + 0.5) / n0)
-    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (ratio >= LEAST_RATIO) & (in1 + in0 >= LEAST_TEXTS))
+    best: list[tuple[np.ndarray, np.ndarray]] = []
+    for turn in range(PASSES):
+        cells = []
+        at = 0
+        for part in common.chunks(texts):
+            hashes, own = terms(*common.raw(part))
+            mine = (hashes % np.uint64(PASSES) == turn) & ~calibrates[own + at]
+            hashes, own = hashes[mine], own[mine] + at
+            _, once = np.unique(textops.mix(hashes ^ textops.mix(own.astype(np.uint64))), return_index=True)
+            cells.append((hashes[once], own[once].astype(np.int32)))
+            at += len(part)
+        hashes, own = (np.concatenate(x) for x in zip(*cells, strict=True))
+        names, place = np.unique(hashes, return_inverse=True)
+        in1 = np.bincount(place, weights=y[own], minlength=len(names))
+        in0 = np.bincount(place, minlength=len(names)) - in1
+        both = (in1 + in0) / (n1 + n0)
+        chi2 = (in1 / n1 - in0 / n0) ** 2 / np.maximum(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12)
+        ratio = ((in1 + 0.5) / n1) / ((in0 + 0.5) / n0)
+        good = (chi2 >= LEAST_CHI2) & (ratio >= LEAST_RATIO) & (in1 + in0 >= LEAST_TEXTS)
+        best.append((names[good], chi2[good]))
+    names, chi2 = (np.concatenate(x) for x in zip(*best, strict=True))
+    good = np.arange(len(names))
     vocabulary = np.sort(names[good[np.lexsort((names[good], -chi2[good]))[:VOCABULARY]]])
     if not len(vocabulary):
         return {"constant": prior}
