@@ -77,7 +77,10 @@ def fold(column: str, modulus: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int = 0) -> DataFrame:
-    """At most `bound` labelled rows (doc_id, text, y): half from each class, chosen by a hash of the id.
+    """At most `bound` labelled rows (doc_id, text, y, w): half from each class, chosen by a hash of the id.
+
+    w is the class's count over all usable labels divided by its count here, so that weighted sums keep
+    the true share of each class however large the classes are.
 
     Rows whose crc32(doc_id) mod 3 is 1, and null ids or labels, are never taken.  A class with fewer
     rows than its half gives all of them.  Ids with contradicting labels are left out.
@@ -100,15 +103,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         rows = known.where(F.col("y") == y)
         if share < 1:
             rows = rows.where(F.col("h") <= F.lit(min(limit, 2**63 - 1)))
-        parts.append(rows.orderBy("h", "doc_id").limit(half))
+        parts.append(rows.orderBy("h", "doc_id").limit(half).withColumn("w", F.lit(n / min(n, half))))
     if not parts:
-        return docs.select("doc_id", "text", F.lit(0).alias("y")).limit(0)
+        return docs.select("doc_id", "text", F.lit(0).alias("y"), F.lit(1.0).alias("w")).limit(0)
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
-    picked = materialise(picked.select(F.col("doc_id").alias("_id"), "y"))
-    # at most `bound` ids of 12 bytes: a proven size
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    picked = materialise(picked.select(F.col("doc_id").alias("_id"), "y", "w"))
+    # at most `bound` ids of 20 bytes: a proven size
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y", "w")
 
 
 def as_texts(column: pa.ChunkedArray | pa.Array) -> pa.Array:

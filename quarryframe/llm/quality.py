@@ -2,7 +2,8 @@
 
 Document statistics, standardised, go through random Fourier features, which approximate a Gaussian
 kernel; ridge regression on them is fitted from normal equations summed over partitions; isotonic
-regression on a part of the sample that the ridge never saw turns its value into a score.
+regression on a part of the sample that the ridge never saw turns its value into a score.  Each class
+weighs as much as it does among all usable labels, so a score means the same at every input size.
 
 Cases.  Null text: as empty; empty texts get the score that the model gives to all-zero counts.  Without
 labels, or with one class only, every score is the share of label 1 (0.5 without any).  Texts are read
@@ -121,22 +122,26 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple
 
 
 def train(sample: DataFrame) -> dict:
-    """The model from labelled rows (doc_id, text, y), a bounded sample."""
+    """The model from labelled rows (doc_id, text, y, w), a bounded sample; w weights a row."""
 
     def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = _stats_of(batch)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "y", "stats"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "y", "w")), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "y", "w", "stats"])
 
-    rows = common.materialise(common.map_arrow(sample, stats, "doc_id long, y int, stats array<double>").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(4))))
-    share = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).first()
-    if not share["n"] or share["ones"] in (0, share["n"]):
-        return {"constant": share["ones"] / share["n"] if share["n"] else 0.5}
-    fit, rest = rows.where("part > 0"), rows.where("part = 0")
-    row = fit.agg(*(f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(N_STATS) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    if row["m0"] is None:
+    rows = common.materialise(common.map_arrow(sample, stats, "doc_id long, y int, w double, stats array<double>").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(4))))
+    share = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("w1")).first()
+    if not share["n"]:
+        return {"constant": 0.5}
+    if share["ones"] in (0, share["n"]):
         return {"constant": share["ones"] / share["n"]}
-    center = np.array([row[f"m{i}"] for i in range(N_STATS)])
-    scale = np.maximum([row[f"s{i}"] for i in range(N_STATS)], 1e-6)
+    unit = share["n"] / share["w"]  # weights of mean 1, so that RIDGE weighs the same at every size
+    fit, rest = rows.where("part > 0"), rows.where("part = 0")
+    classes = fit.groupBy("y").agg(F.sum("w").alias("w"), *(f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(N_STATS) for n, f in (("m", F.avg), ("v", F.var_pop)))).orderBy("y").collect()
+    if not classes:
+        return {"constant": share["w1"] / share["w"]}
+    part, mean, var = (np.array([[r[f"{n}{i}"] for i in range(N_STATS)] for r in classes]) if n else np.array([[r["w"]] for r in classes]) for n in ("", "m", "v"))
+    center = (part * mean).sum(axis=0) / part.sum()
+    scale = np.maximum(np.sqrt((part * (var + (mean - center) ** 2)).sum(axis=0) / part.sum()), 1e-6)
 
     def equations(batches):
         size = FEATURES + 1
@@ -144,8 +149,9 @@ def train(sample: DataFrame) -> dict:
         for batch in batches:
             if batch.num_rows:
                 x = _waves(np.stack(batch.column("stats").to_numpy(zero_copy_only=False)), center, scale)
-                a += x.T @ x
-                b += x.T @ np.asarray(batch.column("y"), float)
+                w = np.asarray(batch.column("w"), float) * unit
+                a += x.T @ (x * w[:, None])
+                b += x.T @ (w * np.asarray(batch.column("y"), float))
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
 
     # the rows are a bounded sample, so a few partitions hold them, and a few sums reach the driver
@@ -155,10 +161,10 @@ def train(sample: DataFrame) -> dict:
         b += np.frombuffer(r["b"])
     weights = np.linalg.solve(a + RIDGE * np.diag([1.0] * FEATURES + [1e-9]), b)
     model = {"center": center, "scale": scale, "weights": weights}
-    left = rest.select("stats", "y").toPandas()
+    left = rest.select("stats", "y", "w").toPandas()
     if len(left):
         x = _waves(np.stack(left["stats"].to_numpy()), center, scale) @ weights
-        model["knots"] = isotonic(np.round(x, 6), left["y"].to_numpy(float))
+        model["knots"] = isotonic(np.round(x, 6), left["y"].to_numpy(float), left["w"].to_numpy(float))
     else:
         model["knots"] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     return model

@@ -51,6 +51,19 @@ def test_sample_is_bounded_and_never_held_out(spark):
     assert sample.count() == 40 and sample.where(common.fold("doc_id", 3) == 1).count() == 0
 
 
+def test_quality_keeps_the_share_of_classes(spark):
+    # one text says nothing, so its score is the share of good labels, also where the bound cuts the larger class
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("the same plain words").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 6 != 0).cast("int").alias("quality"))
+    usable = labels.where(common.fold("doc_id", 3) != 1)
+    share = usable.agg(F.avg("quality")).first()[0]
+    sample = common.labelled_sample(docs, labels, "quality", 200)
+    weights = {r["y"]: r["w"] for r in sample.groupBy("y").agg(F.sum("w").alias("w")).collect()}
+    assert weights == pytest.approx({r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()})
+    (score,) = {r["score"] for r in quality.score(docs.limit(3), quality.train(sample)).collect()}
+    assert abs(score - share) < 0.1
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert np.interp([1, 2, 3, 4], x, y).tolist() == [0, 0.5, 0.5, 1]
