@@ -134,6 +134,28 @@ def _(spark, sf):
     return joins.join(left, right, "k", "outer", coalesce_key=True)
 
 
+# all rows of both tables; keys without a partner come from computed columns
+_WHOLE_SIDES = "(SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name FROM customer) l {} JOIN (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -5 * o_custkey - 1 ELSE o_custkey END AS k, o_orderkey FROM orders) r ON l.k = r.k"
+
+
+def _whole_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    left = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 5 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("k"), "c_name")
+    right = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, -5 * F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("k"), "o_orderkey")
+    return left, right
+
+
+for _how, _sql in {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer": "FULL"}.items():
+
+    @query(f"join_whole_{_how}", f"SELECT l.k AS k, c_name, o_orderkey FROM {_WHOLE_SIDES.format(_sql)}")
+    def _(spark, sf, how=_how):
+        return joins.join(*_whole_sides(spark, sf), "k", how)
+
+
+@query("join_whole_outer_coalesced", f"SELECT coalesce(l.k, r.k) AS k, c_name, o_orderkey FROM {_WHOLE_SIDES.format('FULL')}")
+def _(spark, sf):
+    return joins.join(*_whole_sides(spark, sf), "k", "outer", coalesce_key=True)
+
+
 @query("join_suffix", "SELECT n_nationkey AS k, n_name AS name, s_name AS name_right FROM nation JOIN supplier ON n_nationkey = s_nationkey")
 def _(spark, sf):
     left = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
