@@ -1,13 +1,14 @@
 """Toxicity (operator 3): nearest labelled examples by exact TF-IDF cosine.
 
-Terms are bare lower-case words and their first 4 to 8 bytes, and each once more where it stands 2, 3 or 5 times.  The vocabulary holds the terms that a
-bounded sample of labelled texts shows far more often under label 1, near copies counting once; document
-frequencies come from every document.  Examples stand in blocks of an inverted index that knows, for each term, a block's
-largest weight: blocks are visited by the sum of these bounds until it falls below the k-th similarity,
-so the neighbours are exact.  Their votes, weighted by squared similarity, are calibrated by isotonic
-regression on labelled rows that are no examples; the nearest examples are the evidence.
-
-Cases.  Null text: as empty.  A text without vocabulary terms has no neighbours and gets the calibrated
+Terms are bare lower-case words; all terms of a bounded sample of labelled texts have a weight, near
+copies counting once, and document frequencies come from every document.  A term's inverse document
+frequency is multiplied by how strongly the examples tie it to either label, which is never 0.  Every
+example of either label stands in an index of postings, with the commonest terms in a dense matrix, and a
+text is compared with all of them, so the neighbours are exact.  Their votes, weighted by squared
+similarity, are calibrated by isotonic regression on labelled rows that are no examples; the nearest
+examples are the evidence.
+
+Cases.  Null text: as empty.  A text without sampled terms has no neighbours and gets the calibrated
 share of label 1 among such rows.  Without labels, or with one class only, every score is the share of
 label 1 (0 without any).  Texts are read whole; equal texts get equal scores; equal similarities go to the
 example of smaller index.  Repeated rows and ids give repeated results; an empty table gives an empty
@@ -16,6 +17,9 @@ result; other columns don't matter.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +27,13 @@ from pyspark.sql import functions as F
 
 from quarryframe.llm import common, minhash, quality, textops
 
-#: Bounds on labelled rows (half of each label; a quarter calibrates) and on the vocabulary.
-SAMPLE, VOCABULARY = 6_000, 1_024
-#: Parts of the terms, by hash, that training counts one after the other.
-PASSES = 8
-NEIGHBOURS, BLOCK, PREFIXES, SEED = 16, 64, (4, 5, 6, 7, 8), 13
-#: A term that a text has this often is another term besides.
-LEVELS = (2, 3, 5)
-#: A term needs this chi-square (one degree of freedom), this ratio of its rates, and this many texts.
-LEAST_CHI2, LEAST_RATIO, LEAST_TEXTS = 20.0, 10.0, 4
+#: Bound on labelled rows (half of each label; a quarter calibrates).
+SAMPLE = 6_000
+NEIGHBOURS, SEED = 16, 13
+#: Least tie to a label, so that every term weighs.
+FLOOR = 0.01
+#: Share of the examples from which on a term is common; texts and postings that one step of a search handles.
+COMMON, TEXTS, POSTINGS = 0.125, 64, 1 << 18
 THRESHOLD = 0.7
 
 
@@ -39,19 +41,7 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms, as often as they stand there, and their text index."""
     low = textops.LOWER[data]
     starts, ends, owner = textops.word_bounds(low, offs, textops.NOT_BARE)
-    every, owners = [textops.span_hashes(low, starts, ends)], [owner]
-    for n in PREFIXES:
-        long = ends - starts > n
-        every.append(textops.mix(textops.span_hashes(low, starts[long], starts[long] + n) + np.uint64(n)))
-        owners.append(owner[long])
-    flat, own = np.concatenate(every), np.concatenate(owners)
-    order = np.lexsort((flat, own))
-    flat, own = flat[order], own[order]
-    starts = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])])) if len(flat) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(starts, len(flat)))
-    more = [starts[counts >= n] for n in LEVELS]
-    often = [textops.mix(flat[at] + np.uint64(1000 + n)) for n, at in zip(LEVELS, more, strict=True)]
-    return np.concatenate([flat, *often]), np.concatenate([own, *(own[at] for at in more)])
+    return textops.span_hashes(low, starts, ends), owner
 
 
 def _lookup(vocabulary: np.ndarray, hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,49 +52,95 @@ def _lookup(vocabulary: np.ndarray, hashes: np.ndarray, owners: np.ndarray) -> t
     return at[hit], owners[hit]
 
 
-class Index:
-    """Unit vectors of examples in blocks, with each term's largest weight in each block."""
+class Sparse:
+    """Rows of weights: row i has values[cuts[i]:cuts[i + 1]] in the ascending columns cols[...]."""
+
+    def __init__(self, cuts: np.ndarray, cols: np.ndarray, values: np.ndarray, width: int):
+        self.cuts, self.cols, self.values, self.width = cuts, cols, values, width
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        rows, cols = np.nonzero(dense)
+        return cls(np.searchsorted(rows, np.arange(len(dense) + 1)), cols, dense[rows, cols], dense.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: list):
-        order = np.lexsort((np.arange(len(vectors)), vectors.argmax(axis=1) if vectors.size else np.zeros(0)))
-        self.vectors, self.labels, self.ids = vectors[order], labels[order], [ids[i] for i in order]
-        self.cuts = list(range(0, len(vectors), BLOCK))
-        self.most = np.stack([self.vectors[a : a + BLOCK].max(axis=0) for a in self.cuts], axis=1) if self.cuts else np.zeros((vectors.shape[1], 0))
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.cuts))
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owners(), weights=self.values * vector[self.cols], minlength=len(self))
+
+    def turned(self) -> Sparse:
+        order = np.argsort(self.cols, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(self.cols, minlength=self.width))])
+        return Sparse(cuts, self.owners()[order].astype(np.int32), self.values[order], len(self))
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        lengths = np.diff(self.cuts)[rows]
+        at = textops.expand(self.cuts[rows], lengths)
+        return Sparse(np.concatenate([[0], np.cumsum(lengths)]), self.cols[at], self.values[at], self.width)
+
+
+class Index:
+    """Postings of the examples' unit vectors; the terms that many examples have stand in a dense matrix."""
+
+    def __init__(self, vectors: Sparse | np.ndarray, labels: np.ndarray, ids: list):
+        self.postings = p = (vectors if isinstance(vectors, Sparse) else Sparse.of(vectors)).turned()
+        self.labels, self.ids = labels, ids
+        common_ = np.diff(p.cuts) > COMMON * p.width
+        self.place = np.where(common_, np.cumsum(common_) - 1, -1).astype(np.int32)
+        few = p.take(np.flatnonzero(common_))
+        self.dense = np.zeros((len(few), p.width))
+        self.dense[few.owners(), few.cols] = few.values
+
+    @property
+    def vectors(self) -> Sparse:
+        return self.postings.turned()
+
+    def search(self, queries: Sparse, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the similarities above 0 and indexes of its k nearest examples; equal ones by smaller index."""
+        p, n = self.postings, self.postings.width
+        place = self.place[queries.cols]
+        lengths = np.where(place < 0, p.cuts[queries.cols + 1] - p.cuts[queries.cols], 0)
+        work = np.concatenate([[0], np.cumsum(lengths)])[queries.cuts]
+        a = 0
+        while a < len(queries):
+            b = max(a + 1, min(a + TEXTS, int(np.searchsorted(work, work[a] + POSTINGS, "right")) - 1))
+            mine = slice(queries.cuts[a], queries.cuts[b])
+            own = np.repeat(np.arange(b - a), np.diff(queries.cuts[a : b + 1]))
+            often = place[mine] >= 0
+            q = np.zeros((b - a, len(self.dense)))
+            q[own[often], place[mine][often]] = queries.values[mine][often]
+            at = textops.expand(p.cuts[queries.cols[mine]], lengths[mine])
+            cells = np.repeat(own * n, lengths[mine]) + p.cols[at]
+            sims = np.bincount(cells, weights=np.repeat(queries.values[mine], lengths[mine]) * p.values[at], minlength=(b - a) * n)
+            found = np.round(sims.reshape(b - a, n) + q @ self.dense, 9)
+            least = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.zeros(b - a)
+            for row, bound in zip(found, least, strict=True):
+                hit = np.flatnonzero((row > 0) & (row >= bound))
+                best = hit[np.lexsort((hit, -row[hit]))[:k]]
+                yield row[best], best
+            a = b
 
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities above 0 and indexes of the k nearest examples; equal ones by smaller index."""
-        bounds = weights @ self.most[terms_]
-        sims, rows = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(sims) == k and bounds[b] < sims[-1] - 1e-9:
-                break
-            a = self.cuts[b]
-            found = np.round(self.vectors[a : a + BLOCK, terms_] @ weights, 9)
-            hit = np.flatnonzero(found > 0)
-            sims, rows = np.concatenate([sims, found[hit]]), np.concatenate([rows, hit + a])
-            best = np.lexsort((rows, -sims))[:k]
-            sims, rows = sims[best], rows[best]
-        return sims, rows
-
-
-def _vectors(vocabulary: np.ndarray, idf: np.ndarray, texts: pa.Array):
-    """For every text its term indexes and unit TF-IDF weights."""
-    for part in common.chunks(texts):
-        data, offs = common.raw(part)
-        at, own = _lookup(vocabulary, *terms(data, offs))
-        cells, counts = np.unique(own * len(vocabulary) + at, return_counts=True)
-        rows, cols = cells // len(vocabulary), cells % len(vocabulary)
-        weights = (1 + np.log(counts)) * idf[cols]
-        norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(part)))
-        weights = weights / np.maximum(norms[rows], 1e-12)
-        cuts = np.searchsorted(rows, np.arange(len(part) + 1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield cols[a:b], weights[a:b]
-
-
-def vote(index: Index, terms_: np.ndarray, weights: np.ndarray) -> tuple[float, list[tuple[object, float]]]:
+        """search() for one query."""
+        return next(self.search(Sparse(np.array([0, len(terms_)]), terms_, weights, len(self.postings)), k))
+
+
+def _vectors(vocabulary: np.ndarray, weight: np.ndarray, texts: pa.Array) -> Sparse:
+    """Unit vectors of the texts: 1 + log of a term's count, times its weight."""
+    at, own = _lookup(vocabulary, *terms(*common.raw(texts)))
+    cells, counts = np.unique(own * len(vocabulary) + at, return_counts=True)
+    rows, cols = cells // len(vocabulary), cells % len(vocabulary)
+    weights = (1 + np.log(counts)) * weight[cols]
+    norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(texts)))
+    return Sparse(np.searchsorted(rows, np.arange(len(texts) + 1)), cols.astype(np.int32), weights / np.maximum(norms[rows], 1e-12), len(vocabulary))
+
+
+def vote(index: Index, sims: np.ndarray, rows: np.ndarray) -> tuple[float, list[tuple[object, float]]]:
     """The share of label 1 among the neighbours, by squared similarity (-1: none), and the three nearest."""
-    sims, rows = index.nearest(terms_, weights) if len(terms_) else (np.zeros(0), np.zeros(0, np.int64))
     if not len(sims):
         return -1.0, []
     square = sims**2
@@ -126,6 +162,15 @@ def distinct_rows(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def ties(examples: Sparse, y: np.ndarray) -> np.ndarray:
+    """How strongly each term goes with either label: the size of the phi coefficient, at least FLOOR."""
+    n1, n = y.sum(), len(y)
+    in1 = np.bincount(examples.cols, weights=y[examples.owners()], minlength=examples.width)
+    both = np.bincount(examples.cols, minlength=examples.width)
+    apart = np.abs(in1 / n1 - (both - in1) / (n - n1)) * np.sqrt(n1 * (n - n1)) / n
+    return FLOOR + apart / np.sqrt(np.maximum(both / n * (1 - both / n), 1e-9))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # driver-side work on a bounded sample; copies of a text count once
     rows = common.labelled_sample(docs, labels, "toxic", sample, SEED).orderBy("doc_id", "text").toPandas()
@@ -143,31 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     prior = rate.get(1, 0) / max(1, sum(rate.values()))
     calibrates = np.arange(len(y)) % 4 == 3
     texts = pa.array(rows["text"], pa.large_string())
-
-    n1, n0 = y[~calibrates].sum(), (1 - y[~calibrates]).sum()
-    best: list[tuple[np.ndarray, np.ndarray]] = []
-    for turn in range(PASSES):
-        cells = []
-        at = 0
-        for part in common.chunks(texts):
-            hashes, own = terms(*common.raw(part))
-            mine = (hashes % np.uint64(PASSES) == turn) & ~calibrates[own + at]
-            hashes, own = hashes[mine], own[mine] + at
-            _, once = np.unique(textops.mix(hashes ^ textops.mix(own.astype(np.uint64))), return_index=True)
-            cells.append((hashes[once], own[once].astype(np.int32)))
-            at += len(part)
-        hashes, own = (np.concatenate(x) for x in zip(*cells, strict=True))
-        names, place = np.unique(hashes, return_inverse=True)
-        in1 = np.bincount(place, weights=y[own], minlength=len(names))
-        in0 = np.bincount(place, minlength=len(names)) - in1
-        both = (in1 + in0) / (n1 + n0)
-        chi2 = (in1 / n1 - in0 / n0) ** 2 / np.maximum(both * (1 - both) * (1 / n1 + 1 / n0), 1e-12)
-        ratio = ((in1 + 0.5) / n1) / ((in0 + 0.5) / n0)
-        good = (chi2 >= LEAST_CHI2) & (ratio >= LEAST_RATIO) & (in1 + in0 >= LEAST_TEXTS)
-        best.append((names[good], chi2[good]))
-    names, chi2 = (np.concatenate(x) for x in zip(*best, strict=True))
-    good = np.arange(len(names))
-    vocabulary = np.sort(names[good[np.lexsort((names[good], -chi2[good]))[:VOCABULARY]]])
+    rows = rows.drop(columns="text")
+    vocabulary = np.unique(np.concatenate([np.unique(terms(*common.raw(part))[0]) for part in common.chunks(texts)]))
     if not len(vocabulary):
         return {"constant": prior}
 
@@ -178,25 +200,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             for part in common.chunks(common.as_texts(batch.column("text"))):
                 col, own = _lookup(vocabulary, *terms(*common.raw(part)))
                 total += np.bincount(np.unique(own * len(vocabulary) + col) % len(vocabulary), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(vocabulary)), -1], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], ["term", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(total[seen], n), pa.int64())], ["term", "n"])
 
     sums = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term")["n"]
-    idf = np.log(1 + sums.get(-1, 0) / np.maximum(1, np.array([sums.get(i, 0) for i in range(len(vocabulary))])))
-    vectors = list(_vectors(vocabulary, idf, texts))
-    dense = np.zeros((int((~calibrates).sum()), len(vocabulary)))
-    for row, i in enumerate(np.flatnonzero(~calibrates)):
-        dense[row, vectors[i][0]] = vectors[i][1]
-    full = dense.any(axis=1)
-    index = Index(dense[full], y[~calibrates][full], rows["doc_id"][~calibrates][full].tolist())
-    votes = np.array([vote(index, *vectors[i])[0] for i in np.flatnonzero(calibrates)])
+    idf = np.log(1 + sums.get(-1, 0) / np.maximum(1, sums.reindex(range(len(vocabulary)), fill_value=0).to_numpy()))
+    parts = [_vectors(vocabulary, idf, part) for part in common.chunks(texts)]
+    vectors = Sparse(np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v.cuts) for v in parts]))]), np.concatenate([v.cols for v in parts]), np.concatenate([v.values for v in parts]), len(vocabulary))
+    del parts, texts
+    term_weight = idf * ties(vectors.take(np.flatnonzero(~calibrates)), y[~calibrates])
+    vectors.values *= (term_weight / idf)[vectors.cols]
+    vectors.values /= np.sqrt(np.bincount(vectors.owners(), weights=vectors.values**2, minlength=len(vectors)))[vectors.owners()]
+    index = Index(vectors.take(np.flatnonzero(~calibrates)), y[~calibrates], rows["doc_id"][~calibrates].tolist())
+    votes = np.array([vote(index, *near)[0] for near in index.search(vectors.take(np.flatnonzero(calibrates)))])
     truth = y[calibrates]
     weight = np.where(truth == 1, prior / max(truth.sum(), 1), (1 - prior) / max((1 - truth).sum(), 1)) * len(truth)
-    return {"vocabulary": vocabulary, "idf": idf, "index": index, "knots": quality.isotonic(votes, truth, np.maximum(weight, 1e-9))}
+    return {"vocabulary": vocabulary, "weight": term_weight, "index": index, "knots": quality.isotonic(votes, truth, np.maximum(weight, 1e-9))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score, evidence): evidence is the three nearest examples, id:similarity, comma-joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE x VOCABULARY weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of at most SAMPLE texts
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, scores, proof = shared.value, [], []
@@ -204,13 +228,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             scores, proof = [m["constant"]] * batch.num_rows, [""] * batch.num_rows
         else:
             known: dict[bytes, tuple[float, str]] = {}
-            for terms_, weights in _vectors(m["vocabulary"], m["idf"], common.as_texts(batch.column("text"))):
-                key = terms_.tobytes() + weights.tobytes()
-                if key not in known:
-                    share, near = vote(m["index"], terms_, weights)
-                    known[key] = (float(np.clip(np.interp(share, *m["knots"]), 0, 1)), ",".join(f"{i}:{s:.4f}" for i, s in near))
-                scores.append(known[key][0])
-                proof.append(known[key][1])
+            for part in common.chunks(common.as_texts(batch.column("text"))):
+                v = _vectors(m["vocabulary"], m["weight"], part)
+                keys = [hashlib.blake2b(v.cols[a:b].tobytes() + v.values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(v.cuts[:-1], v.cuts[1:], strict=True)]
+                new = {key: i for i, key in enumerate(keys) if key not in known}
+                for key, near in zip(new, m["index"].search(v.take(np.array([*new.values()], np.int64))), strict=True):
+                    share, best = vote(m["index"], *near)
+                    known[key] = (float(np.clip(np.interp(share, *m["knots"]), 0, 1)), ",".join(f"{i}:{s:.4f}" for i, s in best))
+                scores += [known[key][0] for key in keys]
+                proof += [known[key][1] for key in keys]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(proof, pa.string())], ["doc_id", "score", "evidence"])
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), one, "doc_id long, score double, evidence string")

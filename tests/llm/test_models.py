@@ -82,6 +82,21 @@ def test_nearest_is_exact():
         assert [(-s, i) for s, i in zip(sims, rows, strict=True)] == best
 
 
+def test_toxicity_weighs_all_terms_of_both_labels(spark):
+    rows = [(i, f"alpha{i} beta{i % 9} gamma{i % 5} delta{i % 7} zeta{i % 11}" + " vile" * (i % 3 == 0), int(i % 3 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "gamma3 alone"), (1001, "no sampled term")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    index, usable = model["index"], labels.where(common.fold("doc_id", 3) != 1)
+    fit = usable.count() - usable.count() // 4
+    assert len(index.labels) == fit and 0 < index.labels.sum() < fit and (model["weight"] > 0).all()
+    words = {w for r in usable.join(docs, "doc_id").collect() for w in r["text"].split()}
+    assert len(model["vocabulary"]) == len(words)
+    proof = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, model).collect()}
+    assert proof[1000] and not proof[1001]
+    assert all(f"gamma{int(e.split(':')[0]) % 5}" == "gamma3" for e in proof[1000].split(","))
+
+
 def test_topk_brute_force(spark):
     rng = random.Random(1)
     data = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(90)]
