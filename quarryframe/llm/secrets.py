@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans.  Character Markov models of random strings and of ordinary
 identifiers, trained from labelled samples and compared by log-likelihood ratio, add spans of kind
-`markov` where no base span lies.
+`markov` where no base span lies.  Tokens are judged by themselves and as + and / join them, with = at the
+end; ordinary lower-case pieces at the ends of such a run are no part of it.
 
 Cases.  Null and empty texts: no spans.  Texts are scanned whole, however long.  Repeated rows and ids
 give repeated results; an empty table gives an empty result; other columns don't matter.
@@ -36,6 +37,10 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
 _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(_ALPHABET.encode(), np.uint8)] = np.arange(len(_ALPHABET))
 _NOT_TOKEN = _CODE < 0
+_NOT_JOINED = _NOT_TOKEN.copy()
+_NOT_JOINED[[ord("+"), ord("/")]] = False
+_PLAIN = np.zeros(256, bool)
+_PLAIN[97:123] = True
 #: Shortest token that the models judge.
 SHORTEST = 20
 #: Log-likelihood ratio a token needs: in all, and per character pair.
@@ -116,18 +121,65 @@ def samples_from(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, bound: int
 
 def markov_spans(data: np.ndarray, offs: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text index, start and end in bytes of the tokens that look random."""
+    runs, stops, texts = textops.word_bounds(data, offs, _NOT_JOINED)
+    # padding ends a run where no more of it follows
+    padded = stops.copy()
+    for _ in range(2):
+        more = padded < offs[texts + 1]
+        padded[more] += data[padded[more]] == ord("=")
+    after = padded < offs[texts + 1]
+    after[after] = ~_NOT_JOINED[data[padded[after]]]
+    padded[after] = stops[after]
+    long = padded - runs >= SHORTEST
+    runs, stops, padded = runs[long], stops[long], padded[long]
     starts, ends, owner = textops.word_bounds(data, offs, _NOT_TOKEN)
-    long = ends - starts >= SHORTEST
-    starts, ends, owner = starts[long], ends[long], owner[long]
+    if not len(runs):
+        return owner[:0], starts[:0], ends[:0]
+    run = np.searchsorted(runs, starts, "right") - 1
+    inside = (run >= 0) & (ends <= stops[run])
+    starts, ends, owner, run = starts[inside], ends[inside], owner[inside], run[inside]
     if not len(starts):
         return owner, starts, ends
     lengths = ends - starts - 1
     at = textops.expand(starts, lengths)
     sums = np.concatenate([[0.0], np.cumsum(ratios[_CODE[data[at]], _CODE[data[at + 1]]])])
-    stops = np.cumsum(lengths)
-    total = sums[stops] - sums[stops - lengths]
-    good = (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * lengths)
-    return owner[good], starts[good] - offs[owner[good]], ends[good] - offs[owner[good]]
+    cuts = np.concatenate([[0], np.cumsum(lengths)])
+    total = sums[cuts[1:]] - sums[cuts[:-1]]
+    alone = (ends - starts >= SHORTEST) & (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * lengths)
+
+    plain = np.concatenate([[0], np.cumsum(_PLAIN[data])])
+    kept = np.flatnonzero((total >= 0) | (plain[ends] - plain[starts] < ends - starts))
+    _, first, count = np.unique(run[kept], return_index=True, return_counts=True)
+    first, last = kept[first], kept[first + count - 1]
+    several = last > first
+    first, last = first[several], last[several]
+    # joiners at an end belong to the token where its first or last piece is the run's
+    opens = np.where(np.append(-1, run)[first] == run[first], starts[first], runs[run[first]])
+    closes = np.where(np.append(run, -1)[last + 1] == run[last], ends[last], padded[run[last]])
+    whole = sums[cuts[last + 1]] - sums[cuts[first]]
+    good = (closes - opens >= SHORTEST) & (whole >= LEAST_TOTAL) & (whole >= LEAST_MEAN * (cuts[last + 1] - cuts[first]))
+    first, last, opens, closes = first[good], last[good], opens[good], closes[good]
+    alone[textops.expand(first, last - first + 1)] = False
+
+    # a single piece takes its padding along
+    full = np.where(ends == stops[run], padded[run], ends)
+    begins, finishes, texts = (np.concatenate(x) for x in ((opens, starts[alone]), (closes, full[alone]), (owner[first], owner[alone])))
+    order = np.argsort(begins)
+    begins, finishes, texts = begins[order], finishes[order], texts[order]
+    return texts, begins - offs[texts], finishes - offs[texts]
+
+
+def uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no base span covers."""
+    out = []
+    for s, _, e in sorted(base):
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                out.append((start, s))
+            start = e
+    return [*out, (start, end)] if start < end else out
 
 
 def scan_texts(texts: pa.Array, ratios: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -151,8 +203,7 @@ def scan_texts(texts: pa.Array, ratios: np.ndarray) -> list[list[tuple[int, int,
                 for a, b in extra[i]:
                     start = len(content[:a].decode())
                     end = start + b - a
-                    if not any(s < end and start < e for s, _, e in base):
-                        spans.append((start, 3, end))
+                    spans += [(a_, 3, b_) for a_, b_ in uncovered(start, end, base)]
             found.append(sorted(spans))
     return found
 

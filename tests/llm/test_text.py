@@ -91,6 +91,23 @@ def test_secrets_base_on_documents(spark):
         assert rows[r["doc_id"]]["n_markov"] == 0  # these documents plant none but base ones
 
 
+def test_markov_joins_base64_and_keeps_what_base_spans_leave(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratios = secrets.train(secrets.samples_from(docs))
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choices(alphabet, k=40)) + "=" * (i % 3) for i in range(200)]
+    found = secrets.scan_texts(pa.array([f"use {k} now" for k in keys], pa.large_string()), ratios)
+    assert sum((4, 3, 4 + len(k)) in spans for k, spans in zip(keys, found, strict=True)) >= 0.9 * len(keys)
+    assert all(spans for spans in found)
+    paths = ["/".join(rng.choices(["static", "images", "of", "the", "handler", "request", "index"], k=6)) for _ in range(200)]
+    assert sum(map(len, secrets.scan_texts(pa.array(paths, pa.large_string()), ratios))) == 0
+    # a run of 32 hexadecimal digits inside a longer random token
+    token = "Zk7QxW2pLtVg9RbN" + "0123456789abcdef" * 2 + "ZT4mHqYs8UvKwXr3"
+    (spans,) = secrets.scan_texts(pa.array([token], pa.large_string()), ratios)
+    assert spans == [(0, 3, 16), (16, 2, 48), (48, 3, 64)]
+
+
 def test_markov_adds_random_strings_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     ratios = secrets.train(secrets.samples_from(docs))
