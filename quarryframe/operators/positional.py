@@ -7,7 +7,6 @@ no task sees all rows.  Null cells stay null and pass a running value on.
 
 from __future__ import annotations
 
-import decimal
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,7 @@ from pyspark.sql import types as T
 from quarryframe import types
 from quarryframe.errors import FrameError
 from quarryframe.operators.aggregates import by_double, factors, narrowed, product
-from quarryframe.operators.rows import ascending, quoted, with_position, with_ranges
+from quarryframe.operators.rows import _positions, ascending, before_ranges, dealt_by_range, quoted, with_ranges
 
 
 def _exact(c: Column, field: T.StructField) -> Column:
@@ -34,10 +33,6 @@ def cumulative(df: DataFrame, name: str, how: str, order: Sequence[str], partiti
     upto = Window.partitionBy("__range", *(quoted(p) for p in partition_by)).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     exact = _exact(c, field)
     wide = "double" if by_double(field) else "decimal(38,0)"
-    one = F.lit(1).cast(wide)
-
-    def times(a: Column, x: Column) -> Column:
-        return (a * x).cast(wide)
 
     running = {
         "sum": lambda: F.sum(exact).over(upto),
@@ -45,13 +40,32 @@ def cumulative(df: DataFrame, name: str, how: str, order: Sequence[str], partiti
         "max": lambda: F.max(c).over(upto),
         "prod": lambda: F.product(c.cast("double")).over(upto) if by_double(field) else _running_product(c, exact, upto),
     }[how]()
+    dealt = ranged
+    if not partition_by:
+        total, fold = {
+            "sum": (F.sum(exact), lambda v, w: F.sum(v).over(w)),
+            "min": (F.min(c), lambda v, w: F.min(v).over(w)),
+            "max": (F.max(c), lambda v, w: F.max(v).over(w)),
+            "prod": (product(c, field, exact_only=True), lambda v, w: F.reduce(F.collect_list(v).over(w), F.lit(1).cast(wide), lambda a, x: (a * x).cast(wide))),
+        }[how]
+        before = before_ranges(ranged, total, fold)
+        dealt = dealt_by_range(ranged)
     if how == "prod" and not by_double(field):
-        ranged = ranged.withColumn("__zeros", F.count_if(c == 0).over(upto))
+        dealt = dealt.withColumn("__zeros", F.count_if(c == 0).over(upto))
+    dealt = dealt.withColumn("__running", running)
+    value = F.col("__running")
     if not partition_by:
-        running = _carried(ranged, c, exact, field, how, running, times, one)
-    value = F.when(c.isNotNull(), running)
-    kept = value.cast(field.dataType) if types.is_float(field) or how in ("min", "max") else narrowed(value, field) if types.label(field) != "decimal" else value.cast(field.dataType)
-    return ranged.withColumn(new or name, kept).drop("__range", "__zeros")
+        dealt = dealt.join(F.broadcast(before), F.col("__range") == F.col("__of"))
+        carried = F.col("__before")
+        value = {
+            "sum": lambda: (value + F.coalesce(carried, F.lit(0))).cast(dealt.schema["__running"].dataType),
+            "min": lambda: F.least(value, carried),
+            "max": lambda: F.greatest(value, carried),
+            "prod": lambda: (value * F.coalesce(carried, F.lit(1))).cast(wide),
+        }[how]()
+    value = F.when(c.isNotNull(), value)
+    kept = value.cast(field.dataType) if types.is_float(field) or how in ("min", "max") or types.label(field) == "decimal" else narrowed(value, field)
+    return dealt.withColumn(new or name, kept).drop("__range", "__zeros", "__running", "__of", "__before")
 
 
 def _running_product(c: Column, exact: Column, upto) -> Column:
@@ -62,33 +76,6 @@ def _running_product(c: Column, exact: Column, upto) -> Column:
     return F.when(F.col("__zeros") > 0, F.lit(0)).otherwise((factors(big) * sign).cast("decimal(38,0)"))
 
 
-def _carried(ranged: DataFrame, c: Column, exact: Column, field: T.StructField, how: str, running: Column, times, one: Column) -> Column:
-    """running with what the ranges before give."""
-    total = {
-        "sum": lambda: F.sum(exact),
-        "min": lambda: F.min(c),
-        "max": lambda: F.max(c),
-        "prod": lambda: product(c, field, exact_only=True),
-    }[how]()
-    rows = {r["__range"]: r["v"] for r in ranged.groupBy("__range").agg(total.alias("v")).collect()}  # a row a range
-    combine = {"sum": lambda a, b: a + b, "min": min, "max": max, "prod": lambda a, b: a * b}[how]
-    before, state = {}, None
-    with decimal.localcontext(prec=80):
-        for r in range(max(rows, default=0) + 1):
-            before[r] = state
-            v = rows.get(r)
-            if v is not None:
-                state = v if state is None else combine(state, v)
-    kind = "double" if by_double(field) and how == "prod" or types.is_float(field) and how == "sum" else "decimal(38,0)" if how in ("sum", "prod") and types.label(field) != "decimal" else "decimal(38," + str(getattr(field.dataType, "scale", 0)) + ")" if how == "sum" else field.dataType.simpleString()
-    carried = F.get(F.array(*(F.lit(before[r]).cast(kind) for r in sorted(before))), F.col("__range")) if before else F.lit(None)
-    return {
-        "sum": lambda: running + F.coalesce(carried, F.lit(0).cast(kind)),
-        "min": lambda: F.least(running, carried),
-        "max": lambda: F.greatest(running, carried),
-        "prod": lambda: times(running, F.coalesce(carried, one)),
-    }[how]()
-
-
 def shifted(df: DataFrame, name: str, n: int, order: Sequence[str], partition_by: Sequence[str] = (), new: str = "__shifted") -> DataFrame:
     """df with the cell n rows before (n > 0) or after; null where there is none."""
     c = quoted(name)
@@ -97,9 +84,24 @@ def shifted(df: DataFrame, name: str, n: int, order: Sequence[str], partition_by
     if partition_by:
         window = Window.partitionBy(*(quoted(p) for p in partition_by)).orderBy(*ascending(order))
         return df.withColumn(new, F.lag(c, n).over(window) if n > 0 else F.lead(c, -n).over(window))
-    numbered = with_position(df, order, "__pos")  # a join by number: any n, no task with all rows
-    moved = numbered.select((F.col("__pos") + n).alias("__from"), c.alias("__value"))
-    return numbered.join(moved, F.col("__pos") == F.col("__from"), "left").withColumn(new, F.col("__value")).drop("__pos", "__from", "__value")
+    # within a range a window; only the |n| rows at a range's end meet others, by their number
+    ranged = with_ranges(df, order)
+    numbered = _positions(ranged, df, order, "__pos")
+    rows = Window.partitionBy("__range").orderBy("__pos")
+    ends = numbered.select("__range", "__pos", c.alias("__value"))
+    counts = ranged.groupBy(F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__size"))
+    at = F.row_number().over(rows)
+    placed = ends.withColumn("__at", at).join(F.broadcast(counts), F.col("__range") == F.col("__of"))
+    giving = placed.where(F.col("__at") > F.col("__size") - n if n > 0 else F.col("__at") <= -n).select((F.col("__pos") + n).alias("__from"), "__value")
+    near = numbered.withColumn("__near", F.lag(c, n).over(rows) if n > 0 else F.lead(c, -n).over(rows)).withColumn("__at", at)
+    asks = F.col("__at") <= n if n > 0 else F.col("__at") > F.col("__size") + n
+    if n < 0:
+        near = near.join(F.broadcast(counts), F.col("__range") == F.col("__of"))
+    # rows that ask nothing have numbers that none gives, so they don't crowd on one key
+    near = near.withColumn("__asked", F.when(asks, F.col("__pos")).otherwise(-1 - F.col("__pos")))
+    joined = near.join(giving, F.col("__asked") == F.col("__from"), "left")
+    out = joined.withColumn(new, F.when(F.col("__asked") >= 0, F.col("__value")).otherwise(F.col("__near")))
+    return out.select(*df.columns, new)
 
 
 def shift(df: DataFrame, name: str, n: int, order: Sequence[str], partition_by: Sequence[str] = (), new: str | None = None) -> DataFrame:
@@ -133,13 +135,11 @@ def fill(df: DataFrame, name: str, order: Sequence[str], forward: bool = True, p
         value = F.first(c, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
     if not partition_by:
         key = F.when(c.isNotNull(), F.struct(*(F.struct(quoted(o).isNull().alias("n"), quoted(o).alias("v")) for o in order)))
-        edge = ranged.groupBy("__range").agg((F.max_by(c, key) if forward else F.min_by(c, key)).alias("edge"))
-        # the nearest range that has a value: a table of a row a range
-        edges = edge.where("edge is not null").withColumnRenamed("__range", "__edge")
-        numbers = edge.select("__range")
-        beyond = F.col("__edge") < F.col("__range") if forward else F.col("__edge") > F.col("__range")
-        near = F.max_by("edge", "__edge") if forward else F.min_by("edge", "__edge")
-        carried = numbers.join(edges, beyond, "left").groupBy("__range").agg(near.alias("__carried"))
-        ranged = ranged.join(F.broadcast(carried), "__range", "left")
+        edge = F.max_by(c, key) if forward else F.min_by(c, key)
+        # the nearest range before, or after, that has a value
+        totals = ranged.groupBy(F.col("__range").alias("__of")).agg(edge.alias("v"))
+        near = Window.orderBy(F.col("__of").asc() if forward else F.col("__of").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select("__of", F.last("v", ignorenulls=True).over(near).alias("__carried"))
+        ranged = dealt_by_range(ranged).join(F.broadcast(carried), F.col("__range") == F.col("__of"))
         value = F.coalesce(value, F.col("__carried"))
     return ranged.withColumn("__value", F.coalesce(c, value)).withColumn(new or name, F.col("__value")).select(*df.columns, *([new] if new and new not in df.columns else []))

@@ -2,8 +2,9 @@
 
 Rows have positions only through order keys: `order` names columns whose ascending order is the row
 order.  Whatever needs a global number of a row gets it without moving all rows to one task
-(`with_position`): rows are sorted into ranges, each range is counted, and the counts' running sum is
-added to the place within the range.
+(`with_position`): a sample of all order keys cuts rows into ranges, each range is counted, and the counts'
+running sum is added to the place within the range.  The sample is taken when the method is called, all
+else when the result is read.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,9 @@ COMPARISONS: dict[str, Callable[[Column, Column], Column]] = {
     "gte": lambda c, v: c >= v,
 }
 
+#: Rows that the cuts of one range are sampled from, and the seed of the sample.
+SAMPLED, SEED = 32, 5
+
 
 def checked(df: DataFrame) -> DataFrame:
     """df, unless two columns have one name."""
@@ -107,46 +111,83 @@ def filter_rows(df: DataFrame, name: str, op: str, value: object) -> DataFrame:
 
 
 def range_key(df: DataFrame, name: str) -> Column | None:
-    """A number that never falls where the column's order rises; None for types that have none."""
+    """A simple value in the column's order; None for types that have none."""
     kind, c = types.field_of(df, name).dataType, quoted(name)
-    if isinstance(kind, (T.StringType, T.BinaryType)):  # the first seven bytes
-        return F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("long")
-    if isinstance(kind, T.BooleanType):
-        return c.cast("int")
-    if isinstance(kind, T.DecimalType):
-        return c.cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(c)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(kind, T.TimestampNTZType):
         return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
-    return c if isinstance(kind, T.NumericType) else None
+    return c if isinstance(kind, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType)) else None
+
+
+def range_keys(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Of the order keys, those up to the first without a range key, each as null flag and value."""
+    out: list[Column] = []
+    for name in order:
+        key = range_key(df, name)
+        if key is None:
+            break
+        out += [key.isNull(), key]
+    return out
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], name: str = "__range", descending_: bool = False) -> DataFrame:
-    """df with the number of the range that a row's first order key falls in; nulls are in the last.
+    """df with the number of the range that a row's order keys fall in.
 
-    Ranges follow each other in row order, hold about equally many rows (if keys differ), and are as many
-    as shuffle partitions.  A first key of a type without range_key gives one range.
+    Ranges follow each other in row order, hold about equally many rows (unless all keys are equal), and
+    are as many as shuffle partitions; they are cut by a sample of all keys together, at most SAMPLED rows a
+    range, so equal or alike first keys don't make one range.  descending_: the first key falls, nulls last
+    still.  A first key of a type without a range key gives one range.
     """
-    key = range_key(df, order[0])
-    if key is None:
-        return df.withColumn(name, F.lit(0))
+    keys = range_keys(df, order)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 1000).alias("cuts")).first()["cuts"]
-    cuts = sorted({c for c in found or [] if c == c})
+    if not keys or parts == 1:
+        return df.withColumn(name, F.lit(0))
+    named = df.select(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    direction = [F.col("k0"), F.col("k1").desc_nulls_first() if descending_ else F.col("k1").asc(), *(F.col(f"k{i}") for i in range(2, len(keys)))]
+    found = named.orderBy(F.rand(SEED)).limit(SAMPLED * parts).orderBy(*direction).collect()
+    cuts = list(dict.fromkeys(tuple(found[i * len(found) // parts]) for i in range(1, parts) if found))
     if not cuts:
         return df.withColumn(name, F.lit(0))
-    values = F.array(*(F.lit(c) for c in cuts))
-    at = F.array_size(F.filter(values, (lambda x: x >= key) if descending_ else (lambda x: x <= key)))
-    return df.withColumn(name, F.when(key.isNull(), F.lit(len(cuts))).otherwise(at).cast("int"))
+    kinds = [f.dataType for f in named.schema]
+
+    def literal_(cut: tuple) -> Column:
+        each = [F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(k) for v, k in zip(cut, kinds, strict=True)]
+        return F.struct(*(e.alias(f"k{i}") for i, e in enumerate(each)))
+
+    def reached(cut: Column) -> Column:
+        """Whether the row stands at the cut or after it."""
+        if not descending_:
+            return cut <= F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+        rest = cut <= F.struct(cut["k0"].alias("k0"), cut["k1"].alias("k1"), *(k.alias(f"k{i}") for i, k in enumerate(keys) if i > 1))
+        later = cut["k0"].eqNullSafe(keys[0]) & (F.coalesce(cut["k1"] > keys[1], F.lit(False)) | (cut["k1"].eqNullSafe(keys[1]) & rest))
+        return (cut["k0"] < keys[0]) | later
+
+    # two steps of a search: blocks of cuts by their first, then within a block
+    width = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    count = lambda array: F.array_size(F.filter(array, reached))
+    block = count(F.array(*(literal_(b[0]) for b in blocks)))
+    within = count(F.get(F.array(*(F.array(*map(literal_, b)) for b in blocks)), F.col("__block") - 1))
+    at = F.when(F.col("__block") == 0, 0).otherwise((F.col("__block") - 1) * width + within)
+    return df.withColumn("__block", block).withColumn(name, at.cast("int")).drop("__block")
 
 
-def from_range(values: dict[int, object], kind: str, name: str = "__range") -> Column:
-    """The value of a row's range; null where there is none."""
-    top = max(values, default=0)
-    return F.get(F.array(*(F.lit(values.get(i)).cast(kind) for i in range(top + 1))), F.col(name))
+def dealt_by_range(ranged: DataFrame, name: str = "__range") -> DataFrame:
+    """A task for each range."""
+    return ranged.repartitionById(int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(name))
+
+
+def before_ranges(ranged: DataFrame, value: Column, running: Callable[[Column, WindowSpec], Column], name: str = "__range") -> DataFrame:
+    """(__of, __before): for each range what the ranges before it make together; a table of a row a range.
+
+    value aggregates a range's rows; running folds such values, named v, over a window.
+    """
+    earlier = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col(name).alias("__of")).agg(value.alias("v"))
+    return totals.select("__of", running(F.col("v"), earlier).alias("__before"))
 
 
 def with_position(df: DataFrame, order: Sequence[str], name: str = "_pos", descending_: bool = False) -> DataFrame:
@@ -157,15 +198,17 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "_pos", desce
     if name in df.columns:
         raise DuplicateColumn(name)
     ranged = with_ranges(df, order, descending_=descending_)
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a range
-    offsets, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["__range"]):
-        offsets[row["__range"]] = total
-        total += row["n"]
+    return _positions(ranged, df, order, name, descending_).drop("__range")
+
+
+def _positions(ranged: DataFrame, df: DataFrame, order: Sequence[str], name: str, descending_: bool = False) -> DataFrame:
+    offsets = before_ranges(ranged, F.count(F.lit(1)), lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0)))
     first = sort_key(df, order[0])
     keys = [first.desc_nulls_last() if descending_ else first.asc_nulls_last(), *ascending(order[1:])]
     window = Window.partitionBy("__range").orderBy(*keys)
-    return ranged.withColumn(name, (F.row_number().over(window) - 1 + from_range(offsets, "long")).cast("long")).drop("__range")
+    placed = dealt_by_range(ranged).withColumn("__at", F.row_number().over(window) - 1)
+    joined = placed.join(F.broadcast(offsets), F.col("__range") == F.col("__of"))
+    return joined.withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__at", "__of", "__before")
 
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -180,7 +223,7 @@ def slice_rows(df: DataFrame, start: int, end: int, order: Sequence[str]) -> Dat
     """Rows start to end (exclusive), end clamped; an empty or inverted range has no rows."""
     if end <= start:
         return df.limit(0)
-    return df.orderBy(*ascending(order)).offset(start).limit(end - start)
+    return with_position(df, order, "__pos").where((F.col("__pos") >= start) & (F.col("__pos") < end)).drop("__pos")
 
 
 def sort(df: DataFrame, name: str, ascending_: bool = True, ties: Sequence[str] = ()) -> DataFrame:
@@ -253,6 +296,14 @@ def same_column(df: DataFrame, a: str, b: str) -> bool:
     return bool(df.agg(F.coalesce(F.bool_and(quoted(a).eqNullSafe(quoted(b))), F.lit(True))).first()[0])
 
 
+def same_series(a: DataFrame, left: str, b: DataFrame, right: str, order: Sequence[str], other_order: Sequence[str] | None = None) -> bool:
+    """Whether a column of a and one of b have one type and equal cells, row by row; null equals null."""
+    x = a.select(*(quoted(o).alias(f"o{i}") for i, o in enumerate(order)), quoted(left).alias("cell"))
+    y = b.select(*(quoted(o).alias(f"o{i}") for i, o in enumerate(other_order or order)), quoted(right).alias("cell"))
+    cells = [with_position(z, [f"o{i}" for i in range(len(z.columns) - 1)], "place").select("place", "cell") for z in (x, y)]
+    return same(*cells, ["place"])
+
+
 def same(a: DataFrame, b: DataFrame, order: Sequence[str]) -> bool:
     """Whether two frames have the same columns, types and rows in order."""
     if a.columns != b.columns or [f.dataType for f in a.schema] != [f.dataType for f in b.schema]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def with_file_position(df: DataFrame, name: str = "_pos") -> DataFrame:
     """df, read from files, with the 0-based row number by file path and place in the file.
 
-    Splits keep their rows in order; their offsets come from one count a split.
+    Splits keep their rows in order; their offsets come from one count a split.  A file that is split in
+    another way, or has changed, between the count and the reading raises.
     """
     marked = df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__row": F.monotonically_increasing_id()})
     splits = marked.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("least")).collect()
@@ -18,8 +19,9 @@ def with_file_position(df: DataFrame, name: str = "_pos") -> DataFrame:
         offsets.append((s["__file"], s["__block"], total - s["least"]))
         total += s["n"]
     table = df.sparkSession.createDataFrame(offsets, "__f string, __b long, __offset long")  # a row a split
-    joined = marked.join(F.broadcast(table), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
-    return joined.withColumn(name, F.col("__row") + F.col("__offset")).drop("__file", "__block", "__row", "__f", "__b", "__offset")
+    joined = marked.join(F.broadcast(table), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")), "left")
+    moved = F.raise_error(F.concat(F.lit("not split as it was counted: "), "__file")).cast("long")
+    return joined.withColumn(name, F.col("__row") + F.coalesce("__offset", moved)).drop("__file", "__block", "__row", "__f", "__b", "__offset")
 
 
 def _path(spark: SparkSession, path: str):

@@ -91,10 +91,7 @@ def _read_by_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", emit_int96: bool = False) -> None:
     """emit_int96: timestamps in the legacy 96-bit form."""
-    spark = df.sparkSession
-    key, before = "spark.sql.parquet.outputTimestampType", spark.conf.get("spark.sql.parquet.outputTimestampType")
-    spark.conf.set(key, "INT96" if emit_int96 else before)
-    try:
-        df.write.mode("overwrite").option("compression", CODECS.get(compression, compression)).parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    options = {"compression": CODECS.get(compression, compression)}
+    if emit_int96:  # an option of this write alone
+        options["spark.sql.parquet.outputTimestampType"] = "INT96"
+    df.write.mode("overwrite").options(**options).parquet(path)
