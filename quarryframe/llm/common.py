@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    """df written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+
+    Spark deletes the shuffles of the job with its end, as nothing reads them any more.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark).rstrip('/')}/quarryframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,18 +55,12 @@ def drop(*tables: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
-def release(*tables: DataFrame) -> None:
-    """drop(), and lets Spark delete the files of shuffles that nothing refers to any more.
-
-    Spark's cleaner works on what the JVM has collected, which holds what Python has let go a moment before;
-    so both collect twice.
-    """
-    drop(*tables)
-    if spark := SparkSession.getActiveSession():
-        for _ in range(2):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores before it until no taken name is it, upper and lower case alike."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -76,14 +72,16 @@ def fold(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int = 0) -> DataFrame:
-    """At most `bound` labelled rows (doc_id, text, y, w): half from each class, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int = 0, most_bytes: int | None = None) -> DataFrame:
+    """At most `bound` labelled rows (doc_id, text, y, w), written: half from each class, chosen by a hash of the id.
 
     w is the class's count over all usable labels divided by its count here, so that weighted sums keep
-    the true share of each class however large the classes are.
+    the true share of each class however large the classes are.  most_bytes: texts of a class are taken in
+    order of the hash while they hold at most half of it together, for callers that hold them at once.
 
     Rows whose crc32(doc_id) mod 3 is 1, and null ids or labels, are never taken.  A class with fewer
-    rows than its half gives all of them.  Ids with contradicting labels are left out.
+    rows than its half gives all of them.  Ids with contradicting labels are left out; of a repeated id
+    the least text is taken.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -109,9 +107,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
-    picked = materialise(picked.select(F.col("doc_id").alias("_id"), "y", "w"))
-    # at most `bound` ids of 20 bytes: a proven size
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y", "w")
+    picked = materialise(picked.select(F.col("doc_id").alias("_id"), "y", "w", "h"))
+    # at most `bound` ids of 28 bytes: a proven size; rows of one id combine before they are shuffled
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    rows = materialise(found.groupBy("doc_id", "y", "w", "h").agg(F.min("text").alias("text")))
+    drop(picked)
+    if most_bytes is not None:
+        sizes = rows.select("doc_id", "y", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("y", "h", "doc_id").collect()  # a row a sampled id
+        taken, held, last = dict.fromkeys(counts, 0), dict.fromkeys(counts, 0), {}
+        for r in sizes:
+            held[r["y"]] += r["size"]
+            if held[r["y"]] <= most_bytes // 2:
+                taken[r["y"]] += 1
+                last[r["y"]] = (r["h"], r["doc_id"])
+        within = F.lit(False)
+        for y, (h, i) in last.items():
+            within |= (F.col("y") == y) & ((F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") <= i)))
+        weight = F.when(F.col("y") == 0, counts.get(0, 0) / max(1, taken.get(0, 0))).otherwise(counts.get(1, 0) / max(1, taken.get(1, 0)))
+        rows = rows.where(within).withColumn("w", F.when(F.lit(max(held.values()) > most_bytes // 2), weight).otherwise(F.col("w")))
+    return rows.select("doc_id", "text", "y", "w")
 
 
 def as_texts(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -142,6 +156,16 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         start = stop
 
 
+def in_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The rows of all batches in slices whose texts (nulls: empty) chunks() cuts, so that results stay small too."""
+    for batch in batches:
+        at = 0
+        for texts in chunks(as_texts(batch.column("text"))):
+            yield batch.slice(at, len(texts)), texts
+            at += len(texts)
+    pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:

@@ -11,10 +11,11 @@ least one is then equal, so every link is inside some cell, and none is lost.  T
 on a class of sizes; a document near the upper end of its class also goes to the cells of the next.
 Empty slices name cells only for documents that have more of them than spare slices.
 
-1. Equal sets are one node.  2. Cells with two nodes or more are kept.  3. Every node is verified against
-the one it meets in most cells (a star, so linear); the components of these links are the first labels.
-4. In each cell the R-tree finds the pairs of different labels whose bound allows a link: in the first rounds
-only each node's nearest, which settles most of every group in linearly many pairs; then, with the labels
+1. Equal sets are one node.  2. Cells with two nodes or more are kept, and of cells with the same nodes one.
+3. Every node is held against the one it meets in most cells (a star, so linear), by the points' bound and,
+where that allows a link, exactly; the components of these links are the first labels.  4. In each cell the R-tree finds the pairs of different labels whose bound
+allows a link, and names a pair only in the first cell it shares.  While most such pairs still link, only each
+node's nearest is verified, which settles most of every group in linearly many pairs; then, with the labels
 that follow, all that are left.  Exact intersections verify them.  5. Links become components.  A large cell is
 cut into blocks, and its pairs of blocks are separate tasks.
 
@@ -23,9 +24,10 @@ texts two of either meet by chance with a probability under a thousandth.
 
 Cases.  Null and empty texts, and texts without words: no tokens, linked with nothing, each its own
 component.  With fewer words than n, the whole sequence is the one token.  Texts are read whole.
-Repeated rows and texts are links of similarity 1; a row with a null id belongs to its text's component
-and never names one unless all its members' ids are null.  An empty table gives an empty result; other
-columns don't matter.
+Repeated rows and texts are links of similarity 1.  A row with a null id links like any other and never
+names a component unless all its members' ids are null.  Rows of one id with different texts are
+documents of their own, which may stand in different components of one name.  An empty table gives an
+empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,15 +38,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryframe.llm import common, textops
 
-#: Coordinates of a point (more for sets of more than eight tokens a group); rows of a tree's leaf; nodes of a cell block, of which a task pairs two.
-GROUPS, LEAF, CELL_BLOCK = 128, 32, 4096
-#: Rounds that verify only each node's nearest, before the one that verifies all that is left.
-NEAREST_ROUNDS = 2
+#: Least coordinates of a point; children of a tree's node; nodes of a cell block, of which a task pairs two.
+GROUPS, FAN, CELL_BLOCK = 64, 16, 4096
+#: Coordinates that one step of a tree compares.
+STEP = 1 << 20
+#: Least keys of a node by which its pairs know their first common cell.
+EARLY = 16
+#: Share of nearest pairs that must link for another round of them; below, all that is left is verified.
+PRODUCTIVE = 0.5
 #: Edges of the graph of links that one task holds.
 EDGES_A_TASK = 200_000
 #: Growth of the size classes.
@@ -95,18 +101,23 @@ class Slices:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts of the tokens by group; groups are ranges of the hash, so that halving their number adds neighbours.
+    """Counts of the tokens by group, a byte each; groups are ranges of the hash, so that halving their number adds neighbours.
 
-    A long text has a group for every eight tokens or so: with more in a group, the bound would tell nothing.
+    A set has a group for every one or two tokens, at least GROUPS, and more where a count would pass a byte.
     """
-    bits = max(GROUPS.bit_length() - 1, (len(tokens) // 8).bit_length())
-    return np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    bits = max(GROUPS.bit_length() - 1, (len(tokens) // 2).bit_length())
+    while True:
+        counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        bits += 1
 
 
 def folded(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Points of different resolution, one after the other in flat, as rows of the coarsest one."""
     least = int(lengths.min())
-    out = np.empty((len(starts), least), np.int32)
+    # bytes, unless a sum of neighbours can pass them
+    out = np.empty((len(starts), least), np.uint8 if lengths.max() == least else np.int32)
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
         values = flat[textops.expand(starts[rows], lengths[rows])]
@@ -114,6 +125,12 @@ def folded(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
+def overlap(points: np.ndarray, others: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Summed minima of points[i] and others[j], pair by pair: what the sets can share at most."""
+    step = max(1, STEP // max(1, points.shape[1]))
+    return np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[i[k : k + step]], others[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step))])
+
+
 def node_of(tokens: np.ndarray) -> int:
     """A hash of the set."""
     with np.errstate(over="ignore"):
@@ -121,96 +138,158 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 class Tree:
-    """A packed R-tree of points: leaves of LEAF rows in order of size and largest group, two levels of maxima."""
+    """A packed R-tree of points in order of size and largest group: FAN points a leaf, FAN nodes a node above.
+
+    A node keeps the coordinate-wise maxima of what is below it, and the least and largest size.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((points.argmax(axis=1), sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.cuts = np.arange(0, len(points), LEAF)
-        self.most = np.maximum.reduceat(self.points, self.cuts, axis=0)
-        self.low = self.sizes[self.cuts]
-        self.high = self.sizes[np.minimum(self.cuts + LEAF, len(points)) - 1]
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
+        while len(self.levels[-1][0]) > FAN:
+            most, low, high = self.levels[-1]
+            cuts = np.arange(0, len(most), FAN)
+            self.levels.append((np.maximum.reduceat(most, cuts, axis=0), low[cuts], np.maximum.reduceat(high, cuts)))
+
+    def _spans(self, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The least and largest of a value of the rows, below every node of every level."""
+        out = [(values[self.order], values[self.order])]
+        for most, _, _ in self.levels[:-1]:
+            cuts = np.arange(0, len(most), FAN)
+            out.append((np.minimum.reduceat(out[-1][0], cuts), np.maximum.reduceat(out[-1][1], cuts)))
+        return out
 
     def pairs(self, labels: np.ndarray, threshold: Fraction, halves: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows (i, j) of different labels whose bound on the overlap allows the threshold; with halves, one of each half."""
         p, q = threshold.numerator, threshold.denominator
-        labels = labels[self.order]
-        halves = halves[self.order] if halves is not None else None
-        for a, start in enumerate(self.cuts):
-            mine = slice(start, start + LEAF)
-            # leaves from this one on: sizes only grow
-            rest = np.arange(a, len(self.cuts))
-            rest = rest[self.low[rest] * p <= self.high[a] * q]
-            bound = np.minimum(self.most[rest], self.most[a]).sum(axis=1)
-            rest = rest[bound * (p + q) >= p * (self.low[a] + self.low[rest])]
-            for b in rest:
-                other = slice(self.cuts[b], self.cuts[b] + LEAF)
-                differ = labels[mine, None] != labels[None, other]
-                if halves is not None:
-                    differ &= halves[mine, None] != halves[None, other]
-                if a == b:
-                    differ &= np.tri(*differ.shape, -1, dtype=bool).T
-                i, j = np.nonzero(differ)
-                if not len(i):
-                    continue
-                i, j = i + start, j + self.cuts[b]
-                bound = np.minimum(self.points[i], self.points[j]).sum(axis=1)
-                good = bound * (p + q) >= p * (self.sizes[i] + self.sizes[j])
-                if good.any():
-                    yield self.order[i[good]], self.order[j[good]]
+        apart = [self._spans(x) for x in ([labels] if halves is None else [labels, halves])]
+        top = len(self.levels) - 1
+        todo = [(top, *np.triu_indices(len(self.levels[top][0]), int(top == 0)))]
+        while todo:
+            level, a, b = todo.pop()
+            if level and len(a) > 64:  # few nodes at a time have their children compared
+                todo.append((level, a[64:], b[64:]))
+                a, b = a[:64], b[:64]
+            most, low, high = self.levels[level]
+            good = low[b] * p <= high[a] * q  # sizes only grow
+            for spans in apart:
+                least, largest = spans[level]
+                good &= (least[a] != largest[b]) | (largest[a] != least[b])
+            a, b = a[good], b[good]
+            good = overlap(most, most, a, b) * (p + q) >= p * (low[a] + low[b])
+            a, b = a[good], b[good]
+            if level == 0:
+                if len(a):
+                    yield self.order[a], self.order[b]
+                continue
+            below = len(self.levels[level - 1][0])
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+            x, y = ((z[:, None] * FAN + w).ravel() for z, w in ((a, i), (b, j)))
+            inside = (x < below) & (y < below) & (x < y if level == 1 else x <= y)
+            todo.append((level - 1, x[inside], y[inside]))
+
+
+def text_key() -> Column:
+    """A hash of the text (null: empty), which with the id names a document."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def sets_of(docs: DataFrame, n: int, cells: Slices) -> DataFrame:
-    """(doc_id, n_shingles, node, keys) of every row; node is null without tokens.  cells.keys names a set's cells.
+    """(doc_id, text_key, n_shingles, node, keys, point) of every row; node is null without tokens.  cells.keys names a set's cells.
 
-    In each task the first row of a node has the keys, later ones none: copies add nothing to the cells.
+    In each task the first row of a node has keys and point, later ones none: copies add nothing to the cells.
     """
-    none = np.zeros(0, np.int64)
+    schema = "doc_id long, text_key long, n_shingles long, node long, keys array<long>, point binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            sizes, nodes, keys = [], [], []
-            for part in common.chunks(common.as_texts(batch.column("text"))):
-                for tokens in textops.shingle_sets(*common.raw(part), n):
-                    node = node_of(tokens) if len(tokens) else None
-                    sizes.append(len(tokens))
-                    nodes.append(node)
-                    keys.append(none if node in seen else cells.keys(tokens))
+        for rows, texts in common.in_chunks(batches):
+            sizes, nodes, keys, points = [], [], [], []
+            for tokens in textops.shingle_sets(*common.raw(texts), n):
+                node = node_of(tokens) if len(tokens) else None
+                new = len(tokens) > 0 and node not in seen
+                sizes.append(len(tokens))
+                nodes.append(node)
+                keys.append(cells.keys(tokens) if new else None)
+                points.append(point(tokens).tobytes() if new else None)
+                if new:
                     seen.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
+            found = [pa.array(x, kind) for x, kind in ((sizes, pa.int64()), (nodes, pa.int64()), (keys, pa.list_(pa.int64())), (points, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), *found], ["doc_id", "text_key", "n_shingles", "node", "keys", "point"])
+
+    return _documents(docs).mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
 
 
 def _tokens_of(texts: DataFrame, n: int) -> DataFrame:
-    """(node, point binary, tokens array<long>) from (node, text): rows whose text is the node's, once in a task."""
+    """(node, tokens array<long>) from (node, text): rows whose text is the node's, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        for rows, texts in common.in_chunks(batches):
+            nodes, tokens = [], []
+            for found, node in zip(textops.shingle_sets(*common.raw(texts), n), rows.column("node").to_pylist(), strict=True):
+                if node not in seen and len(found) and node_of(found) == node:
+                    seen.add(node)
+                    nodes.append(node)
+                    tokens.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+
+    return texts.mapInArrow(run, "node long, tokens array<long>")
+
+
+def _possible(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose points' bound allows the threshold; known is (node, size, point)."""
+    p, q = threshold.numerator, threshold.denominator
+    ends = [known.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("point").alias(f"point_{x}")) for x in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, points, tokens = [], [], []
-            expected = iter(batch.column("node").to_pylist())
-            for part in common.chunks(common.as_texts(batch.column("text"))):
-                for found, node in zip(textops.shingle_sets(*common.raw(part), n), expected):  # noqa: B905  the sets end first
-                    if node not in seen and len(found) and node_of(found) == node:
-                        seen.add(node)
-                        nodes.append(node)
-                        points.append(point(found).tobytes())
-                        tokens.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "point", "tokens"])
-
-    return texts.mapInArrow(run, "node long, point binary, tokens array<long>")
-
-
-def _verified(pairs: DataFrame, tokens: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the threshold."""
-    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+            raw = [x for both in zip(batch.column("point_a").to_pylist(), batch.column("point_b").to_pylist(), strict=True) for x in both]
+            lengths = np.array([len(x) for x in raw], np.int64)
+            starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(raw), np.uint8)
+            sizes = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            good = np.zeros(batch.num_rows, bool)
+            for rows, shared in _overlaps(flat, starts, lengths, 2 * np.arange(batch.num_rows)):
+                good[rows // 2] = shared * (p + q) >= p * sizes[rows // 2]
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(good)) for x in ("a", "b")], ["a", "b"])
+
+    return pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(run, "a long, b long")
+
+
+def _overlaps(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What point i and point i + 1 share at most, for every i of firsts: some of firsts at a time, and their overlaps.
+
+    A tree of two points is one sum; pairs are taken together by the resolution that both have.
+    """
+    least = np.minimum(lengths[firsts], lengths[firsts + 1])
+    for n in np.unique(least):
+        for part in np.array_split(firsts[least == n], max(1, int((least == n).sum() * n // STEP))):
+            both = np.stack([part, part + 1], axis=1).ravel()
+            points = folded(flat, starts[both], lengths[both])
+            yield part, overlap(points, points, np.arange(0, len(both), 2), np.arange(1, len(both), 2))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the threshold, written; the sets are made anew from one text a node.
+
+    firsts is (node, first_id, text_key), and the pairs are few: what the points' bounds leave.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    where = firsts.join(asked, "node", "left_semi").select("node", F.col("first_id").alias("a_id"), F.col("text_key").alias("a_key"))
+    plain = _documents(docs)
+    texts = plain.join(where, plain["doc_id"].eqNullSafe(where["a_id"]) & (plain["text_key"] == where["a_key"])).select("node", "text")
+    tokens = common.materialise(_tokens_of(texts, n))
+    both = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
     same = F.size(F.array_intersect("ta", "tb")).cast("long")
     union = F.size("ta") + F.size("tb") - same
-    return both.where(same * threshold.denominator >= union * threshold.numerator).select("a", "b")
+    # repeated rows of one id and text give a node's tokens once a task
+    found = common.materialise(both.where(same * threshold.denominator >= union * threshold.numerator).select("a", "b").distinct())
+    common.drop(tokens)
+    return found
 
 
 def _nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,47 +301,55 @@ def _nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> tuple[np.nda
     return i[keep], j[keep], likeness[keep]
 
 
+def first_met(early: np.ndarray, keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j meet in no cell before this one, as far as the least keys of both tell.
+
+    early has each row's least keys in a row of its own, filled up with the largest number.  A common key
+    that both lists hold is the least of all, so a pair is named in one cell, or, where the lists hold none, in each.
+    """
+    none = np.iinfo(np.int64).max
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        here = slice(k, k + (1 << 14))
+        both = np.sort(np.concatenate([early[i[here]], early[j[here]]], axis=1), axis=1)
+        least = np.where(both[:, 1:] == both[:, :-1], both[:, 1:], none).min(axis=1)
+        out[here] = (least == none) | (least == keys[i[here]])
+    return out
+
+
 def _tree_pairs(members: DataFrame, threshold: Fraction, nearest: bool) -> DataFrame:
-    """Pairs (a, b, likeness), with the bound on the similarity, of nodes that the cells' trees leave, from (key, part, node, half, label, point).
+    """Pairs (key, a, b, likeness), with the bound on the similarity, of nodes that the cells' trees leave, from (key, part, node, half, label, size, point, early).
 
     Members of a cell come together, and a cell part has at most about two blocks of nodes.  nearest:
     each node gives only the pair of the highest bound in a cell, so the pairs are no more than the rows.
     """
-    schema = "a long, b long, likeness double"
+    schema = "key long, a long, b long, likeness double"
     p, q = threshold.numerator, threshold.denominator
 
-    def likeness(points: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        steps = range(0, len(i), 1024)
-        return np.concatenate([np.zeros(0), *(np.minimum(x, y).sum(axis=1) / (x.sum(axis=1) + y.sum(axis=1)) for x, y in ((points[i[k : k + 1024]], points[j[k : k + 1024]]) for k in steps))])
-
-    def pairs_of_two(rows: dict[str, np.ndarray], small: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """A tree of two points is one sum; cells are taken together by their points' resolution."""
-        small = small[rows["label"][small] != rows["label"][small + 1]]
-        least = np.minimum(rows["length"][small], rows["length"][small + 1])
-        for n in np.unique(least):
-            for part in np.array_split(small[least == n], max(1, int((least == n).sum() * n >> 20))):
-                both = np.stack([part, part + 1], axis=1).ravel()
-                points = folded(rows["flat"], rows["start"][both], rows["length"][both])
-                like = likeness(points, np.arange(0, len(both), 2), np.arange(1, len(both), 2))
-                good = like >= p / (p + q) - 1e-9
-                yield part[good], part[good] + 1, like[good]
-
     def flush(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs of whole cells."""
-        key, nodes = rows["cell"], rows["node"]
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        lengths = np.diff(np.append(starts, len(key)))
-        found = list(pairs_of_two(rows, starts[lengths == 2]))
+        cell, nodes = rows["cell"], rows["node"]
+        starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
+        lengths = np.diff(np.append(starts, len(cell)))
+        found = []
+        two = starts[lengths == 2]
+        for i, shared in _overlaps(rows["flat"], rows["start"], rows["length"], two[rows["label"][two] != rows["label"][two + 1]]):
+            sizes = rows["size"][i].astype(np.int64) + rows["size"][i + 1]
+            good = (shared * (p + q) >= p * sizes) & first_met(rows["early"], cell[:, 0], i, i + 1)
+            found.append((i[good], i[good] + 1, shared[good] / sizes[good]))
         for s, n in zip(starts[lengths > 2], lengths[lengths > 2], strict=True):
             here = slice(s, s + n)
             if (rows["label"][here] == rows["label"][s]).all():
                 continue
-            halves = rows["half"][here]
+            halves, sizes = rows["half"][here], rows["size"][here]
             points = folded(rows["flat"], rows["start"][here], rows["length"][here])
-            pairs = list(Tree(points, points.sum(axis=1)).pairs(rows["label"][here], threshold, halves if halves.any() else None))
+            pairs = []
+            for i, j in Tree(points, sizes).pairs(rows["label"][here], threshold, halves if halves.any() else None):
+                new = first_met(rows["early"], cell[:, 0], i + s, j + s)
+                pairs.append((i[new], j[new]))
             if pairs:
                 i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                like = likeness(points, i, j)
+                like = overlap(points, points, i, j) / (sizes[i] + sizes[j])
                 if nearest:
                     i, j, like = _nearest(i, j, like)
                 found.append((i + s, j + s, like))
@@ -270,10 +357,8 @@ def _tree_pairs(members: DataFrame, threshold: Fraction, nearest: bool) -> DataF
             return
         i, j, like = (np.concatenate(x) for x in zip(*found, strict=True))
         a, b = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
-        order = np.lexsort((b, a))
-        first = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])] if len(order) else order
-        if len(first):
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(like[first])], ["a", "b", "likeness"])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[i, 0]), pa.array(a), pa.array(b), pa.array(like)], ["key", "a", "b", "likeness"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -281,14 +366,16 @@ def _tree_pairs(members: DataFrame, threshold: Fraction, nearest: bool) -> DataF
             if not batch.num_rows:
                 continue
             raw = batch.column("point").to_pylist()
+            early = np.full((batch.num_rows, EARLY), np.iinfo(np.int64).max)
+            for row, keys in enumerate(batch.column("early").to_pylist()):
+                early[row, : len(keys)] = keys
             now = {
                 "cell": np.stack([batch.column("key").to_numpy(), batch.column("part").to_numpy()], axis=1),
-                "node": batch.column("node").to_numpy(),
-                "label": batch.column("label").to_numpy(),
-                "half": batch.column("half").to_numpy(),
-                "length": np.array([len(x) // 2 for x in raw], np.int64),
+                "early": early,
+                **{k: batch.column(k).to_numpy() for k in ("node", "label", "half", "size")},
+                "length": np.array([len(x) for x in raw], np.int64),
             }
-            flat = np.frombuffer(b"".join(raw), np.uint16)
+            flat = np.frombuffer(b"".join(raw), np.uint8)
             if held:
                 flat = np.concatenate([held.pop("flat"), flat])
                 now = {k: np.concatenate([held[k], v]) for k, v in now.items()}
@@ -303,20 +390,39 @@ def _tree_pairs(members: DataFrame, threshold: Fraction, nearest: bool) -> DataF
 
     spark = members.sparkSession
     dealt = members.repartition(common.partitions(spark), "key", "part").sortWithinPartitions("key", "part", "node")
-    return dealt.select("key", "part", "node", "label", "half", "point").mapInArrow(run, schema).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    return dealt.select("key", "part", "node", "label", "half", "size", "point", "early").mapInArrow(run, schema)
+
+
+def _joined_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node (u) that the task's edges join to a smaller one, with the smallest (v)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component), written: the smallest node that links (a, b) lead to, for every node with a link.
 
-    Alternates large and small stars; every round writes its edges to the shared folder, in as many tasks as
-    their number asks for.
+    Every task joins up to about EDGES_A_TASK edges; where that takes more than one, large and small stars
+    alternate, and every round writes its edges to the shared folder.
     """
     few = lambda df: common.materialise(df.coalesce(tasks))
     tasks = max(1, -(-links.count() // EDGES_A_TASK))
-    edges = few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before = None
-    while True:
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
+    edges = common.materialise(edges.coalesce(tasks).mapInArrow(_joined_in_task, "u long, v long").where("u > v"))
+    before, done = None, tasks == 1
+    while not done:
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -328,8 +434,7 @@ def components(links: DataFrame) -> DataFrame:
         common.drop(edges, least, large, lowest)
         edges = after
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("d")).first()
-        if before == now and now["n"] == now["d"]:
-            break
+        done = before == now and now["n"] == now["d"]
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -364,59 +469,86 @@ def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
 
 def connected(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """linked(), with cells given: found is (doc_id, n_shingles, node, keys), and links are sought in cells only."""
-    spark = docs.sparkSession
-    parts = common.partitions(spark)
-    sets = common.materialise(found)
-    firsts = common.materialise(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    """linked(), with cells given: found is what sets_of() gives, and links are sought in cells only."""
+    rows, groups = _grouped(docs, found, n, threshold)
+    names = common.materialise(groups.groupBy("group").agg(F.min("first_id").alias("component_id")))
+    final = common.materialise(groups.join(names, "group").select("node", "component_id"))
+    common.drop(groups, names)
+    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(final, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
-    dealt = sets.where("node is not null").select(F.explode("keys").alias("key"), "node").repartition(parts, "key")
-    cells = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
-    members = common.materialise(dealt.join(cells, "key").select("key", "node", "pivot").distinct())
 
-    narrow = common.materialise(sets.select("doc_id", "n_shingles", "node"))
-    del dealt, cells
-    common.release(sets)
+def representatives(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, text_key, times), written: the document of each group that stands for it, and how many rows are it.
 
-    # points and tokens of the nodes that share a cell, from one text each
-    active = members.select("node").distinct().join(firsts, "node").where("first_id is not null").select("node", F.col("first_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active, "doc_id").select("node", "text")
-    tokens = common.materialise(_tokens_of(texts, n))
-    del active, texts
-    common.release()
+    It is the one of the smallest doc_id, null last, then text_key.  Rows without words are in no group.
+    """
+    rows, groups = _grouped(docs, sets_of(docs, n, Slices(threshold)), n, threshold)
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("first_id").isNull().alias("absent"), "first_id", "text_key")).alias("best")).select("best.first_id", "best.text_key")
+    times = rows.where("node is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    same = best["first_id"].eqNullSafe(times["doc_id"]) & (best["text_key"] == times["text_key"])
+    out = common.materialise(times.join(best, same, "left_semi"))
+    common.drop(rows, groups)
+    return out
+
+
+def _grouped(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_shingles, node) of every row and (node, first_id, text_key, group) of every node, both written."""
+    parts = common.partitions(docs.sparkSession)
+    sets = common.materialise(found)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key"))
+    firsts = common.materialise(sets.where("node is not null").groupBy("node").agg(first.alias("first")).select("node", F.col("first.doc_id").alias("first_id"), "first.text_key"))
+
+    dealt = sets.where("node is not null").select(F.explode("keys").alias("key"), "node").repartition(parts, "key")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
+    every = common.materialise(dealt.join(shared, "key").select("key", "node", "pivot").distinct())
+    rows = common.materialise(sets.select("doc_id", "text_key", "n_shingles", "node"))
+    # cells with the same nodes are one, named by the least of their keys; weight: how many they are
+    digest = [F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"d{seed}") for seed in (1, 2))]
+    alike = every.groupBy("key").agg(*digest).groupBy("size", "d1", "d2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "weight")
+    members = common.materialise(every.join(alike, "key"))
+    common.drop(every)
+
+    # the points of the nodes that share a cell, with their least keys
+    early = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, EARLY).alias("early"))
+    points = sets.where("point is not null").select("node", F.col("n_shingles").cast("int").alias("size"), "point")
+    known = common.materialise(points.join(early, "node").dropDuplicates(["node"]))
+    common.drop(sets)
 
     # the star: each node against the node that leads most of its cells
-    meets = members.where("node > pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    meets = members.where("node > pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("times"))
     star = meets.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
     tested = common.materialise(star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-    links = common.materialise(_verified(tested, tokens, threshold))
-    del meets, star
-    common.release()
+    near = common.materialise(_possible(tested, known, threshold))
+    links = _verified(near, docs, firsts, n, threshold)
+    common.drop(near)
     labels = components(links)
 
-    # the trees: first each node's nearest only, then, with what that has joined, all pairs of different labels
-    for round_ in range(NEAREST_ROUNDS + 1):
-        rest, written = _unsettled(members.select("key", "node"), labels)
-        pairs = _tree_pairs(rest.join(tokens.select("node", "point"), "node"), threshold, round_ < NEAREST_ROUNDS)
-        pairs = common.materialise(pairs.join(tested, ["a", "b"], "left_anti"))
-        todo = pairs if round_ == NEAREST_ROUNDS else _best_of_each(pairs)
-        todo = common.materialise(todo.select("a", "b"))
-        del rest
-        common.release(written, pairs)
-        found = common.materialise(links.unionByName(_verified(todo, tokens, threshold)))
-        every = common.materialise(tested.unionByName(todo))
-        common.release(links, labels, todo, tested)
-        links, tested = found, every
-        labels = components(links)
-    common.release(members, tokens, links, tested)
-
-    groups = firsts.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("group"))
-    groups = common.materialise(groups)
-    common.release(labels)
-    names = common.materialise(groups.groupBy("group").agg(F.min("first_id").alias("component_id")))
-    final = common.materialise(groups.join(names, "group").select("node", "component_id"))
-    alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return narrow.join(final, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    # the trees: each node's nearest only, while these link; then, with what that has joined, all pairs of different labels
+    nearest, open_ = True, members.select("key", "node")
+    while True:
+        rest, written = _unsettled(open_, labels)
+        raw = common.materialise(_tree_pairs(rest.join(known, "node"), threshold, nearest))
+        pairs = raw.groupBy("a", "b").agg(F.max("likeness").alias("likeness")).join(tested, ["a", "b"], "left_anti")
+        todo = common.materialise((_best_of_each(pairs) if nearest else pairs).select("a", "b"))
+        new = _verified(todo, docs, firsts, n, threshold)
+        asked, joined = todo.count(), new.count()
+        links, old = common.materialise(links.unionByName(new)), links
+        tested, before = common.materialise(tested.unionByName(todo)), tested
+        # a cell that names no pair now names none later: labels only merge
+        open_ = common.materialise(members.select("key", "node").join(raw.select("key").distinct(), "key", "left_semi"))
+        common.drop(written, raw, todo, new, old, before)
+        if joined:
+            common.drop(labels)
+            labels = components(links)
+        if not nearest or not asked:
+            break
+        nearest = joined >= PRODUCTIVE * asked
+    common.drop(members, known, links, tested)
+
+    groups = common.materialise(firsts.join(labels, "node", "left").select("node", "first_id", "text_key", F.coalesce("component", "node").alias("group")))
+    common.drop(labels, firsts)
+    return rows, groups
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,51 @@ def test_join_cut_cells(spark, monkeypatch):
     assert got == brute(rows, 3, Fraction(9, 10))
 
 
+def test_null_id_bridge(spark):
+    """A null id's text between two others: its links hold, and it takes their name."""
+    words = [f"w{i}" for i in range(200)]
+    a, n, b = (" ".join([*words[:k], *(f"x{i}" for i in range(10 - k // 20))]) for k in (200, 196, 192))
+    rows = [(5, a), (None, n), (9, b), (None, "only null ids here"), (None, "only null ids here")]
+    got = sorted((tuple(r) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(9, 10)).collect()), key=str)
+    assert got == brute(rows, 3, Fraction(9, 10))
+    assert {r[2] for r in got if r[0] in (5, 9)} == {5}
+
+
+def test_pairs_are_few(spark, monkeypatch):
+    """Unlinked near copies that share very many cells are named once; cells with the same nodes are one."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(600)]
+    texts = [" ".join(w if i % 25 else f"d{d}x{i}" for i, w in enumerate(base)) for d in range(12)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, plain = [], ngram_join._tree_pairs
+
+    def counted(members, threshold, nearest):
+        pairs = plain(members, threshold, nearest)
+        seen.append(pairs.select("a", "b").distinct().count())
+        assert seen[-1] == pairs.count()
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_tree_pairs", counted)
+    got = sorted((tuple(r) for r in ngram_join.linked(df, 3, Fraction(4, 5)).collect()), key=str)
+    assert got == brute(list(enumerate(texts)), 3, Fraction(4, 5))
+    assert seen and all(pairs <= 66 for pairs in seen)
+
+
+def test_first_met():
+    rng = np.random.default_rng(2)
+    keys = [np.sort(rng.choice(60, int(rng.integers(1, 30)), replace=False)) for _ in range(40)]
+    early = np.full((40, ngram_join.EARLY), np.iinfo(np.int64).max)
+    for row, k in enumerate(keys):
+        early[row, : min(len(k), ngram_join.EARLY)] = k[: ngram_join.EARLY]
+    for i in range(40):
+        for j in range(i):
+            shared = np.intersect1d(keys[i], keys[j])
+            told = np.intersect1d(keys[i][: ngram_join.EARLY], keys[j][: ngram_join.EARLY])
+            named = [k for k in shared if ngram_join.first_met(early, np.full(40, k), np.array([i]), np.array([j]))[0]]
+            assert named == (list(shared[:1]) if len(told) else list(shared))
+
+
 def test_join_empty(spark):
     assert ngram_join.linked(spark.createDataFrame([], "doc_id long, text string"), 3, Fraction(9, 10)).count() == 0
 
@@ -98,15 +143,25 @@ def test_cells_lose_no_link():
 
 def test_tree_is_exact():
     rng = np.random.default_rng(1)
-    points = rng.integers(0, 4, (150, ngram_join.GROUPS)).astype(np.int32)
+    points = rng.integers(0, 4, (150, ngram_join.GROUPS)).astype(np.int32)  # three levels of nodes
     points[50:] = np.maximum(points[rng.integers(0, 50, 100)] - (rng.random((100, ngram_join.GROUPS)) < 0.05), 0)
     sizes, labels, t = points.sum(axis=1), rng.integers(0, 20, 150), Fraction(9, 10)
     got = {tuple(sorted(p)) for i, j in ngram_join.Tree(points, sizes).pairs(labels, t) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if labels[i] != labels[j] and 19 * np.minimum(points[i], points[j]).sum() >= 9 * (sizes[i] + sizes[j])}
     assert got == want
+    halves = rng.integers(0, 2, 150)
+    got = {tuple(sorted(p)) for i, j in ngram_join.Tree(points, sizes).pairs(labels, t, halves) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == {(i, j) for i, j in want if halves[i] != halves[j]}
+
+
+def test_points_keep_every_token():
+    tokens = np.unique(np.random.default_rng(4).integers(0, 1 << 50, 40_000, dtype=np.uint64))  # crowded into few ranges
+    assert ngram_join.point(tokens).sum() == len(tokens)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [200_000, 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "EDGES_A_TASK", most)
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (100, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, 101: 100, 102: 100}
@@ -146,6 +201,26 @@ def test_pipeline_stages(spark):
     assert encoded.count() == mixed.count() and encoded.where("not exact or n_tokens <> size(ids)").count() == 0
 
 
+def test_pipeline_ids_and_names(spark):
+    """One id with two texts, repeated rows, null ids, and columns named as the stages name theirs."""
+    def text(seed):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+
+    rows = [(1, text(1), 1), (1, text(2), 2), (2, text(3), 3), (2, text(3), 3), (2, text(3), 4), (3, text(1), 5), (None, text(2), 6), (None, text(4), 7), (None, text(4), 7), (4, None, 8), (4, " ", 9)]
+    names = ["__quality", "__kept", "row", "id", "key", "worded", "times", "__copy", "__mix_n", "_id", "score", "y", "w"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").withColumns({n: F.lit(n) for n in names}).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "m": F.create_map(F.lit("a"), F.col("place"))})
+    one = common.materialise(corpus_pipeline.drop_near_duplicates(spark, docs, SF))
+    assert one.columns == docs.columns
+    assert sorted(r["place"] for r in one.collect()) == [1, 2, 3, 7, 8, 9]
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "secrets", "mixing"):
+        assert stages[name](spark, one, SF).columns == docs.columns
+    assert stages["encoding"](spark, one, SF).count() == 6
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_pipeline_odd_rows(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "A b c d e f g", None, None, 13), (None, "no id", "en", "s", 5), (3, None, "en", "s", None), (4, "", "de", "t", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
