@@ -7,9 +7,11 @@
 4. mixing: documents are taken 0, 1 or 2 times, so that sources come near their target weights.
 5. encoding: token ids of every taken document; decoding checks them.
 
-Cases.  Null texts count as empty.  Rows with a null doc_id pass the second stage as they are.  Of rows
-with one doc_id and the same group, one stays.  Other columns are carried along until the last stage,
-which returns doc_id, lang and source beside the ids.  Empty tables give empty results.
+Cases.  Null texts count as empty.  Texts without words are in no group: all their rows stay.  Rows of one
+doc_id with texts of different groups are different documents.  A null doc_id stands for a group only where
+all its ids are null.  Of repeated rows one stays, the first by its JSON form.  Other columns, whatever their
+names, are carried along until the last stage, which returns doc_id, lang and source beside the ids.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,16 +29,25 @@ WORDS, SIMILARITY = 5, Fraction(4, 5)
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fitted(spark, docs, sf_dir)
-    return quality.score(docs, model, keep=tuple(docs.columns), name="__quality").where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+    name = common.free_name("__quality", docs.columns)
+    return quality.score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.linked(docs, WORDS, SIMILARITY)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    # rows of one id meet in an aggregate, which combines before it shuffles
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    known = one.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").select("__row.*")
-    return known.unionByName(docs.where("doc_id is null"))
+    kept = ngram_join.representatives(docs, WORDS, SIMILARITY)
+    # the columns of docs are one column here, so that no name of theirs clashes
+    packed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        ngram_join.text_key().alias("key"),
+        F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"),
+    )
+    same = packed["id"].eqNullSafe(kept["doc_id"]) & (packed["key"] == kept["text_key"])
+    worded = packed.where("worded")
+    once = worded.join(kept.where("times = 1"), same, "left_semi")
+    # rows of one id and text meet in an aggregate, which combines before it shuffles
+    one = worded.join(kept.where("times > 1"), same, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return packed.where("not worded").select("row.*").unionByName(once.select("row.*")).unionByName(one.select("row.*"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +56,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.allocate(docs, keep=tuple(docs.columns))
-    return mixed.where("__mix_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias(common.free_name("__copy", docs.columns))
+    return mixed.where("__mix_copies > 0").select(*docs.columns, copies).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +78,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each but the last is written and read again."""
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, before = common.table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir))
+        common.drop(*before)  # the next stage reads only what this one wrote
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
