@@ -1,12 +1,13 @@
 """Mixing sources to target weights (operator 10): subset-sum budget fitting.
 
 Documents are counted by source and exact length in words.  A target of more than a source's size takes
-all of it whole times; what remains of the budget is first filled in proportion, length by length, then
-by bounded-knapsack dynamic programming over the lengths.  Which documents of a length are taken follows
-from a seeded hash of the id, ranked within slices of that hash, so that no task needs a whole group.
+all of it whole times; of what remains, all but HELD times the longest length is spread over the lengths
+in proportion, and bounded-knapsack dynamic programming over the lengths fits the remaining budget.  Which
+documents of a length are taken follows from a seeded hash of id and text, ranked within slices of that hash,
+so that no task needs a whole group.
 
 Cases.  Null and empty texts have size 0 and are never taken.  A null source is one source, last in
-order.  Repeated rows are documents of their own; which of rows equal in source, size and id is taken
+order.  Repeated rows are documents of their own; which of rows equal in source, text and id is taken
 makes no difference.  Null ids are ranked like any other.  An empty table gives an empty result; other
 columns, whatever their names, don't matter.
 """
@@ -26,8 +27,8 @@ WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED = 11
 #: Slices of the hash in which documents of one source and length are ranked.
 SLICES = 1024
-#: Largest budget, in words, that the dynamic programme fits; more is filled from the longest down.
-CAPACITY = 1 << 16
+#: Budget that is left to the dynamic programme, in longest lengths of a source.
+HELD = 8
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
@@ -57,23 +58,20 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
 
 
 def nearest_subset(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that their sum comes nearest to budget (ties: below).
+    """How many of each length to take so that their sum comes nearest to budget (ties: below); exact.
 
-    Exact for a budget up to CAPACITY; a larger one is first filled from the longest lengths down.
+    A bounded-knapsack programme over sums up to twice the budget, a bit a sum, longest lengths first; it
+    ends as soon as the budget itself is reached.
     """
     taken = [0] * len(lengths)
     order = sorted((i for i, n in enumerate(lengths) if n > 0 and counts[i] > 0), key=lambda i: -lengths[i])
-    for i in order:
-        if budget > CAPACITY:
-            taken[i] = min(counts[i], (budget - CAPACITY // 2) // lengths[i])
-            budget -= taken[i] * lengths[i]
     if budget <= 0 or not order:
         return taken
     top = 2 * budget  # beyond, taking nothing is nearer
     mask, reached = (1 << (top + 1)) - 1, 1
     history: list[tuple[int, int, int]] = []  # length index, documents in the item, sums reached before it
     for i in order:
-        rest, size = min(counts[i] - taken[i], top // lengths[i]), 1
+        rest, size = min(counts[i], top // lengths[i]), 1
         while rest > 0 and not reached >> budget & 1:
             size = min(size, rest)
             before, reached = reached, (reached | reached << (size * lengths[i])) & mask
@@ -91,14 +89,31 @@ def nearest_subset(lengths: list[int], counts: list[int], budget: int) -> list[i
     return taken
 
 
+def spread(lengths: list[int], counts: list[int], words: float) -> list[int]:
+    """How many of each length to take for `words` at most, in proportion; what a length leaves goes to the next shorter."""
+    size = sum(n * k for n, k in zip(lengths, counts, strict=True))
+    taken, due = [0] * len(lengths), 0.0
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if lengths[i] > 0:
+            due += lengths[i] * counts[i] * words / size
+            taken[i] = min(counts[i], int(due // lengths[i]))
+            due -= taken[i] * lengths[i]
+    return taken
+
+
 def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list[int]]:
-    """Whole copies of everything, and how many documents of each length are taken once more."""
+    """Whole copies of everything, and how many documents of each length are taken once more.
+
+    All but HELD times the longest length is spread in proportion; the remaining budget goes through the
+    programme, so its work follows the longest text, not the source.  It misses the budget only where no
+    choice of the documents that remain meets it.
+    """
     size = sum(n * k for n, k in zip(lengths, counts, strict=True))
     if not size:
         return 0, [0] * len(lengths)
     whole = min(int(target // size), int(MOST))
     rest = min(max(target - whole * size, 0.0), float(size)) if whole < MOST else 0.0
-    extra = [int(k * rest / size) if n else 0 for n, k in zip(lengths, counts, strict=True)]
+    extra = spread(lengths, counts, max(0.0, rest - HELD * max(lengths)))
     budget = round(rest) - sum(n * k for n, k in zip(lengths, extra, strict=True))
     more = nearest_subset(lengths, [k - e for k, e in zip(counts, extra, strict=True)], max(budget, 0))
     return whole, [a + b for a, b in zip(extra, more, strict=True)]
@@ -110,13 +125,13 @@ def allocate(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ("doc_id
     def sizes(names: tuple[str, ...]) -> DataFrame:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             n = pa.array(word_counts(common.as_texts(batch.column("__mix_text"))), pa.int64())
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), batch.column("__mix_source"), n], [*names, "__mix_source", "__mix_size"])
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) + 2)), n], [*names, "__mix_source", "__mix_hash", "__mix_size"])
 
         kinds = dict(docs.dtypes)
-        schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["__mix_source string", "__mix_size long"])
-        return common.map_arrow(docs.select(*names, F.col("source").cast("string").alias("__mix_source"), F.col("text").alias("__mix_text")), one, schema)
+        schema = ", ".join([f"`{k}` {kinds[k]}" for k in names] + ["__mix_source string", "__mix_hash long", "__mix_size long"])
+        return common.map_arrow(docs.select(*names, F.col("source").cast("string").alias("__mix_source"), F.xxhash64("text").alias("__mix_hash"), F.col("text").alias("__mix_text")), one, schema)
 
-    slice_: Column = F.pmod(F.xxhash64("__mix_id", F.lit(seed)), F.lit(SLICES))
+    slice_: Column = F.pmod(F.xxhash64("__mix_id", "__mix_hash", F.lit(seed)), F.lit(SLICES))
     ids = sizes(("doc_id",)).withColumnRenamed("doc_id", "__mix_id")
     # documents by source, exact length and slice of the hash: what both the plan and the ranks need
     cells = common.materialise(ids.groupBy("__mix_source", "__mix_size", slice_.alias("__mix_slice")).agg(F.count(F.lit(1)).alias("__mix_n")))
@@ -141,7 +156,7 @@ def allocate(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ("doc_id
         .select(before["__mix_source"].alias("__mix_q_source"), before["__mix_size"].alias("__mix_q_size"), before["__mix_slice"].alias("__mix_q_slice"), "__mix_source_size", "__mix_target", "__mix_whole", (F.col("__mix_extra") - F.col("__mix_before")).alias("__mix_quota"))
     )
     rows = sizes(tuple(dict.fromkeys([*keep, "doc_id"]))).withColumn("__mix_id", F.col("doc_id")).withColumn("__mix_slice", slice_)
-    rank = Window.partitionBy("__mix_source", "__mix_size", "__mix_slice").orderBy(F.xxhash64("__mix_id", F.lit(seed + 1)), "__mix_id")
+    rank = Window.partitionBy("__mix_source", "__mix_size", "__mix_slice").orderBy(F.xxhash64("__mix_id", "__mix_hash", F.lit(seed + 1)), "__mix_id")
     ranked = rows.withColumn("__mix_rank", F.row_number().over(rank))
     match = (ranked["__mix_source"].eqNullSafe(quota["__mix_q_source"])) & (ranked["__mix_size"] == quota["__mix_q_size"]) & (ranked["__mix_slice"] == quota["__mix_q_slice"])
     copies = F.when(F.col("__mix_size") == 0, 0).otherwise(F.col("__mix_whole") + (F.col("__mix_rank") <= F.col("__mix_quota")).cast("int"))
