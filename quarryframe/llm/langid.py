@@ -1,10 +1,11 @@
 """Language identification (operator 7): multinomial naive Bayes over hashed character n-grams.
 
 Counts come from every training document; the matrix of log-probabilities (languages x buckets) is
-broadcast, its size fixed by the number of languages and BUCKETS; batches are scored in numpy.
+broadcast in blocks of LANGUAGES, its size fixed by the number of languages and BUCKETS (128 KB a language);
+batches are scored in numpy, block by block.
 
 Cases.  Text null or without a letter: `und`, score 0.  No labelled document at all: `und` everywhere.
-Null or empty lang and null ids are never learned from.  Texts are read whole.  Equal posteriors go to
+Null lang, null text and null ids are never learned from; an empty lang is a language like any other.  Texts are read whole.  Equal posteriors go to
 the language first by code point.  Repeated rows and ids give repeated results; an empty table gives an
 empty result; other columns don't matter.
 """
@@ -22,8 +23,8 @@ from quarryframe.llm import common
 
 BUCKETS = 1 << 14
 SIZES = (2, 3)
-#: Most languages that are learned; more raise.
-MOST_LANGUAGES = 512
+#: Languages of a block of the matrix, and languages whose counts a task holds at once.
+LANGUAGES = 128
 
 _letter: np.ndarray | None = None
 
@@ -68,42 +69,63 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and log-probabilities (languages x BUCKETS) from (text, lang) of all rows."""
-    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()).select("text", "lang")
-    priors = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(priors) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    priors = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     langs = sorted(priors)
     if not langs:
         return [], np.zeros(0), np.zeros((0, BUCKETS))
-    place = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches):
-        total = np.zeros(len(langs) * BUCKETS, np.int64)
+        held: dict[str, np.ndarray] = {}
+
+        def given() -> pa.RecordBatch:
+            cells = {lang: np.flatnonzero(total) for lang, total in held.items()}
+            names = pa.array([lang for lang, at in cells.items() for _ in range(len(at))], pa.string())
+            at, n = ([np.zeros(0, np.int64), *x] for x in (cells.values(), (held[lang][at] for lang, at in cells.items())))
+            held.clear()
+            return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(at)), pa.array(np.concatenate(n))], ["lang", "bucket", "n"])
+
         for batch in batches:
             texts = common.as_texts(batch.column("text"))
-            which = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            at = 0
+            which, at = batch.column("lang").to_pylist(), 0
             for part in common.chunks(texts):
-                flat, own, _ = ngrams(part.to_pylist())
-                total += np.bincount(which[at : at + len(part)][own] * BUCKETS + flat, minlength=len(total))
+                here = which[at : at + len(part)]
                 at += len(part)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+                names = sorted(set(here))
+                place = {lang: i for i, lang in enumerate(names)}
+                flat, own, _ = ngrams(part.to_pylist())
+                row = np.array([place[x] for x in here], np.int64)
+                # the counts of a few languages at a time: a part may name as many as it has texts
+                for low in range(0, len(names), LANGUAGES):
+                    some = names[low : low + LANGUAGES]
+                    mine = (row[own] >= low) & (row[own] < low + len(some))
+                    total = np.bincount((row[own[mine]] - low) * BUCKETS + flat[mine], minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
+                    if len(held.keys() | set(some)) > LANGUAGES:
+                        yield given()
+                    for lang, counts in zip(some, total, strict=True):
+                        held[lang] = held[lang] + counts if lang in held else counts
+        yield given()
 
-    counts = np.ones(len(langs) * BUCKETS)
-    sums = known.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts[sums["cell"].to_numpy()] += sums["n"].to_numpy()
-    counts = counts.reshape(len(langs), BUCKETS)
+    place = {lang: i for i, lang in enumerate(langs)}
+    logs = np.full((len(langs), BUCKETS), -np.log(BUCKETS))  # of languages without any n-gram
+    for row in known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
+        found = np.ones(BUCKETS)
+        found[row["at"]] += row["n"]
+        logs[place[row["lang"]]] = np.log(found / found.sum())
     n = np.array([priors[x] for x in langs], float)
-    return langs, np.log(n / n.sum()), np.log(counts / counts.sum(axis=1, keepdims=True))
+    return langs, np.log(n / n.sum()), logs
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score, the posterior of the predicted language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs_, prior_, logs_ = model
+    context = docs.sparkSession.sparkContext
+    names_ = context.broadcast((langs_, prior_))
+    shared = [context.broadcast(logs_[i : i + LANGUAGES]) for i in range(0, len(langs_), LANGUAGES)]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, prior, logs = shared.value
+        langs, prior = names_.value
+        logs = [row for block in shared for row in block.value]
         names, scores = [], []
         for part in common.chunks(common.as_texts(batch.column("text"))):
             flat, own, has = ngrams(part.to_pylist())
@@ -117,7 +139,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return common.map_arrow(docs.select(*keep, "text"), one, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double"]))
+    return common.map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), one, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
