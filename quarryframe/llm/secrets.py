@@ -97,7 +97,8 @@ def samples_from(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, bound: int
     """
     ids = docs.select("doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h", "doc_id").limit(documents)
     picked = common.materialise(ids.select(F.col("doc_id").alias("_id")).distinct())
-    texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text"))
+    # of a repeated id the least text, so that the bound holds
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[tuple[str, int], None] = {}
@@ -169,17 +170,23 @@ def markov_spans(data: np.ndarray, offs: np.ndarray, ratios: np.ndarray) -> tupl
     return texts, begins - offs[texts], finishes - offs[texts]
 
 
-def uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of start to end that no base span covers."""
-    out = []
-    for s, _, e in sorted(base):
-        if s >= end:
-            break
-        if e > start:
+def uncovered(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of the spans found that no base span covers; both in order of start, and read once."""
+    out, at, reach = [], 0, []  # reach: base spans that may cover the next span too
+    for start, end in found:
+        while at < len(base) and base[at][0] < end:
+            reach.append(base[at])
+            at += 1
+        reach = [b for b in reach if b[2] > start]
+        for s, _, e in reach:
             if s > start:
-                out.append((start, s))
-            start = e
-    return [*out, (start, end)] if start < end else out
+                out.append((start, min(s, end)))
+            start = max(start, e)
+            if start >= end:
+                break
+        if start < end:
+            out.append((start, end))
+    return out
 
 
 def scan_texts(texts: pa.Array, ratios: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -197,14 +204,12 @@ def scan_texts(texts: pa.Array, ratios: np.ndarray) -> list[list[tuple[int, int,
                 continue
             text = part[i].as_py()
             spans = base_spans(text, m)
-            base = list(spans)
             if i in extra:
-                content = text.encode()
-                for a, b in extra[i]:
-                    start = len(content[:a].decode())
-                    end = start + b - a
-                    spans += [(a_, 3, b_) for a_, b_ in uncovered(start, end, base)]
-            found.append(sorted(spans))
+                # code points before each byte: tokens are ASCII, so their lengths stay
+                before = np.concatenate([[0], np.cumsum((data[offs[i] : offs[i + 1]] & 0xC0) != 0x80)])
+                tokens = [(int(before[a]), int(before[a]) + b - a) for a, b in extra[i]]
+                spans = sorted(spans + [(a, 3, b) for a, b in uncovered(tokens, spans)])
+            found.append(spans)
     return found
 
 
