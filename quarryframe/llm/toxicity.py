@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quarryframe.llm import common, minhash, quality, textops
 
-#: Bound on labelled rows (half of each label; a quarter calibrates).
-SAMPLE = 6_000
+#: Bounds on labelled rows (half of each label; a quarter calibrates) and on the bytes of their texts, which the driver holds.
+SAMPLE, SAMPLE_BYTES = 6_000, 1 << 26
 NEIGHBOURS, SEED = 16, 13
 #: Least tie to a label, so that every term weighs.
 FLOOR = 0.01
@@ -173,7 +173,7 @@ def ties(examples: Sparse, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # driver-side work on a bounded sample; copies of a text count once
-    rows = common.labelled_sample(docs, labels, "toxic", sample, SEED).orderBy("doc_id", "text").toPandas()
+    rows = common.labelled_sample(docs, labels, "toxic", sample, SEED, SAMPLE_BYTES).orderBy("doc_id", "text").toPandas()
     rows["text"] = rows["text"].fillna("")
     rows = rows.drop_duplicates("text").reset_index(drop=True)
     if len(rows):
