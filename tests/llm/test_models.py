@@ -51,6 +51,16 @@ def test_sample_is_bounded_and_never_held_out(spark):
     assert sample.count() == 40 and sample.where(common.fold("doc_id", 3) == 1).count() == 0
 
 
+def test_sample_holds_its_bounds_with_repeated_ids(spark):
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    docs = labels.crossJoin(spark.range(200).select(F.col("id").alias("n"))).select("doc_id", F.concat(F.lit("text "), F.col("n")).alias("text"), F.lit(1).alias("_id"), F.lit(2).alias("y"))
+    assert common.labelled_sample(docs, labels, "quality", 10).count() == 10
+    usable = labels.where(common.fold("doc_id", 3) != 1).count()
+    few = common.labelled_sample(docs, labels, "quality", 1000, 0, 80).collect()
+    assert 0 < len(few) < usable and sum(len(r["text"]) for r in few) <= 80
+    assert sum(r["w"] for r in few) == pytest.approx(usable)
+
+
 def test_quality_keeps_the_share_of_classes(spark):
     # one text says nothing, so its score is the share of good labels, also where the bound cuts the larger class
     docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("the same plain words").alias("text"))
@@ -100,11 +110,15 @@ def test_toxicity_weighs_all_terms_of_both_labels(spark):
 def test_topk_brute_force(spark):
     rng = random.Random(1)
     data = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(90)]
+    data += [(200 + i, [rng.choice([1e6, -1e6, 3e-5, 0.5]) * (j == i % 6) for j in range(6)]) for i in range(12)]  # products stay within 64 bits
+    data += [(140, [1e300, 0.0]), (160, [0.0] * 6 + [-1e12]), (161, [0.0] * 6 + [-0.5]), (162, [0.0] * 6 + [7.0]), (180, [0.25] * 6), (180, [0.25] * 6), (180, [0.25] * 5 + [0.0, 0.0]), (180, [0.25] * 5)]
     data += [(7, data[7][1]), (40, data[40][1]), (100, None), (101, [1.0, None]), (102, [float("nan")] * 6), (103, [float("inf")] * 6), (None, [0.5] * 6), (104, []), (120, [0.25, 0.5])]
     df = spark.createDataFrame(data, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), ])).withColumn("score", F.lit("clash"))
-    rows = topk.integer_vectors(df)
+    rows = topk.integer_vectors(df.where("vec_id is null or vec_id <> 140"))
     got = sorted(tuple(r) for r in topk.search(rows, rows.where("vec_id % 20 = 0"), 5).collect())
-    clean = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    with pytest.raises(Exception, match="a score beyond 64 bits"):
+        topk.search(topk.integer_vectors(df), topk.integer_vectors(df.where("vec_id = 140")), 5).collect()
+    clean = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in data if i is not None and i != 140 and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for a, (i, v) in enumerate(clean):
         if i % 20 == 0:
@@ -114,12 +128,20 @@ def test_topk_brute_force(spark):
     assert topk.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_topk_sees_a_hot_row_once(spark):
+    """A vector that half of the rows repeat is one row of a shard, and so many candidates."""
+    df = spark.createDataFrame([(20, [0.5, 0.25])] * 300 + [(i, [i / 4000, 0.1]) for i in range(300)], "vec_id long, embedding array<double>")
+    rows = topk.integer_vectors(df)
+    got = topk.search(rows, rows.where("vec_id = 20"), 5).collect()
+    assert len(got) == 5 * 301 and sum(r["vec_id"] == 20 and r["rank"] == 5 for r in got) >= 300
+
+
 def test_topk_prunes(monkeypatch):
     rng = np.random.default_rng(0)
     weights = np.zeros((4000, 8), np.int64)
     weights[np.arange(4000), rng.integers(0, 8, 4000)] = rng.integers(1, 50, 4000)
     shard = topk.Shard(np.arange(4000), weights)
-    j, r, s = shard.search(np.array([-1]), np.eye(8, dtype=np.int64)[:1], 5)
+    j, r, s = shard.search(np.eye(8, dtype=np.int64)[:1], 5, np.array([-1]))
     assert sorted(s.tolist()) == sorted(weights[:, 0])[-5:]
 
 
@@ -159,6 +181,20 @@ def test_subset_sums():
         assert abs(got - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_large_budgets():
+    rng = random.Random(9)
+    for lengths, counts, target in (
+        (list(range(1, 900)), [rng.randint(1, 40) for _ in range(899)], 1_000_000.0),
+        ([7, 1000, 20_000], [5000, 900, 60], 1_234_567.0),
+        ([400_000, 9], [12, 2], 3_000_000.0),
+    ):
+        whole, extra = mixing.fit(lengths, counts, target)
+        size = sum(n * k for n, k in zip(lengths, counts, strict=True))
+        got = whole * size + sum(n * k for n, k in zip(lengths, extra, strict=True))
+        assert all(0 <= e <= k for e, k in zip(extra, counts, strict=True))
+        assert abs(got - min(target, 2 * size)) <= (0.5 if len(lengths) > 100 else max(lengths) / 2)
+
+
 def test_targets():
     t = mixing.targets({"a": 10, "b": 1000, None: 1000})
     assert t["a"] == 20 and abs(sum(t.values()) - 1.5 * 2010) < 1e-6 and all(t[s] <= 2 * n + 1e-9 for s, n in {"b": 1000, None: 1000}.items())

@@ -1,8 +1,10 @@
 """BPE, secrets, languages and the vectorised text helpers."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -122,6 +124,16 @@ def test_markov_adds_random_strings_only(spark):
     assert sum(map(len, found)) <= 4
 
 
+def test_uncovered_parts():
+    rng = random.Random(7)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(80), 8))
+        found = [(cuts[i], cuts[i + 1]) for i in range(0, 8, 2)]
+        base = sorted((a, rng.randrange(3), a + rng.randint(1, 20)) for a in rng.sample(range(70), rng.randint(0, 5)))
+        got = {p for a, b in secrets.uncovered(found, base) for p in range(a, b)}
+        assert got == {p for a, b in found for p in range(a, b)} - {p for a, _, b in base for p in range(a, b)}
+
+
 def test_redaction(spark):
     docs = frame(spark, ["a token = abcdefgh1234 b", None, "plain"]).withColumn("n_chars", F.length("text"))
     ratios = np.zeros((64, 64))
@@ -143,6 +155,31 @@ def test_language(spark):
     assert langid.predict(frame(spark, ["the"]), none).first()["lang_pred"] == "und"
 
 
+def test_language_is_naive_bayes(spark):
+    """Against a plain dictionary of counts, with more languages than a block holds, ties, repeats and long texts."""
+    rng = random.Random(6)
+    langs = [f"l{i}" for i in range(600)] + [""]
+    rows = [(i, "".join(rng.choices("abcdefghij klmnop", k=12)), langs[i % len(langs)]) for i in range(1300)] + [(1, "abc abd", "l7"), (None, "same words", "l9"), (None, "same words", "l10"), (None, None, "l2"), (None, "x y", None), (9999, "same words " * 30_000, "l5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.predict(docs, langid.train(docs), ("doc_id", "text")).collect()
+    counts = {lang: Counter() for _, t, lang in rows if t is not None and lang is not None}
+    prior = Counter(lang for _, t, lang in rows if t is not None and lang is not None)
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            counts[lang].update(langid.ngrams([t])[0].tolist())
+    sums = {lang: sum(c.values()) + langid.BUCKETS for lang, c in counts.items()}
+    assert len(got) == len(rows)
+    for r in rng.sample(got, 60) + [r for r in got if r["doc_id"] in (None, 9999)]:
+        grams = Counter(langid.ngrams([r["text"] or ""])[0].tolist())
+        if r["text"] is None:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        logs = {lang: math.log(prior[lang] / sum(prior.values())) + sum(n * math.log((counts[lang][g] + 1) / sums[lang]) for g, n in grams.items()) for lang in counts}
+        best = max(logs.values())
+        assert logs[r["lang_pred"]] == pytest.approx(best, abs=1e-6 * abs(best))
+        assert r["score"] == pytest.approx(1 / sum(math.exp(x - best) for x in logs.values()), rel=1e-3)
+
+
 def test_language_ngrams_by_hand():
     flat, own, has = langid.ngrams(["Ab", "a-b", "", "--"])
     same = lambda t: sorted(langid.ngrams([t])[0].tolist())
