@@ -38,9 +38,8 @@ def main() -> None:
         return parquet.read_parquet(spark, f"{folder}/items")
 
     def tdf_roundtrip() -> DataFrame:
-        small = orders.limit(20_000)
-        tdf.write_tdf(small, f"{folder}/orders.tdf")
-        return tdf.read_tdf(spark, f"{folder}/orders.tdf")
+        tdf.write_tdf(items, f"{folder}/items.tdf")
+        return tdf.read_tdf(spark, f"{folder}/items.tdf")
 
     queries = {
         "sort": lambda: rows.sort(items, "l_partkey"),

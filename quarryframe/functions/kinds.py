@@ -35,7 +35,7 @@ def date_format(c: Column) -> Column:
 
 # times
 def time_from(value: Column, unit: str) -> Column:
-    return (value * UNITS[unit]).cast("long")
+    return value.cast("long") * F.lit(UNITS[unit])
 
 
 def time_hour(c: Column) -> Column:
@@ -91,6 +91,25 @@ def decimal_rescale(c: Column, precision: int, scale: int) -> Column:
     return F.when(c.isNull(), None).when(moved == c, moved).otherwise(F.raise_error(F.lit("lossy rescale")))
 
 
+def _decimal(c: Column, precision: int, scale: int) -> Column:
+    return F.when(c.isNull(), None).otherwise(F.coalesce(c.try_cast(T.DecimalType(precision, scale)), F.raise_error(F.lit("decimal overflow"))))
+
+
+def decimal_add(a: Column, b: Column, precision: int, scale: int) -> Column:
+    """a + b at the given precision and scale, the larger of the operands' scales; what they can't hold raises."""
+    return _decimal(a + b, precision, scale)
+
+
+def decimal_sub(a: Column, b: Column, precision: int, scale: int) -> Column:
+    """a - b, as decimal_add."""
+    return _decimal(a - b, precision, scale)
+
+
+def decimal_mul(a: Column, b: Column, precision: int, scale: int) -> Column:
+    """a * b at the given precision and scale, the sum of the operands' scales; what they can't hold raises."""
+    return _decimal(a * b, precision, scale)
+
+
 def decimal_div(a: Column, b: Column, scale: int, scale_a: int, scale_b: int) -> Column:
     """a / b at a scale, cut toward zero; division by zero raises, and so does a scale that can't be met.
 

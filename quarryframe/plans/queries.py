@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryframe.errors import FrameError
 from quarryframe.functions import kinds, scalar
 from quarryframe.operators import aggregates, cast, joins, nulls, positional, rows, sets
 from quarryframe.sources import csv, generate, json, parquet, tdf
@@ -73,20 +74,21 @@ def _(spark, sf):
 
 for _op, _sign in {"eq": "=", "neq": "<>", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}.items():
 
-    @query(f"filter_{_op}", f"SELECT o_orderkey, nv FROM {ORDERS} WHERE nv {_sign} 50000.0")
+    # a value that about one row in a hundred has, so that each comparison has its own result
+    @query(f"filter_{_op}", f"SELECT event_id, n FROM {EVENTS} WHERE n {_sign} 50")
     def _(spark, sf, op=_op):
-        return rows.filter_rows(orders(spark, sf), "nv", op, 50000.0).select("o_orderkey", "nv")
+        return rows.filter_rows(events(spark, sf), "n", op, 50).select("event_id", "n")
 
 
-@query("filter_chain", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'O' AND o_orderkey <= 5000")
+@query("filter_chain", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus = 'O' AND o_totalprice <= 100000")
 def _(spark, sf):
     df = rows.filter_rows(table(spark, sf, "orders"), "o_totalprice", "gt", 1000.0)
-    return rows.filter_rows(rows.filter_rows(df, "o_orderstatus", "eq", "O"), "o_orderkey", "lte", 5000).select("o_orderkey")
+    return rows.filter_rows(rows.filter_rows(df, "o_orderstatus", "eq", "O"), "o_totalprice", "lte", 100000.0).select("o_orderkey")
 
 
-@query("filter_by_indices", "SELECT i.place AS _place, n_nationkey, n_name FROM (VALUES (0, 3), (1, 1), (2, 3), (3, 24)) i(place, spot) JOIN nation ON n_nationkey = i.spot")
+@query("filter_by_indices", "SELECT i.place AS _place, o_orderkey, o_custkey FROM (VALUES (0, 3), (1, 1), (2, 3), (3, 124)) i(place, spot) JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) ON r = i.spot")
 def _(spark, sf):
-    return rows.take(table(spark, sf, "nation"), [3, 1, 3, 24], ["n_nationkey"]).select(F.col("_place").cast("int").alias("_place"), "n_nationkey", "n_name")
+    return rows.take(table(spark, sf, "orders"), [3, 1, 3, 124], ["o_orderkey"]).select(F.col("_place").cast("int").alias("_place"), "o_orderkey", "o_custkey")
 
 
 @query("indices_where", "SELECT CAST(p AS BIGINT) AS position FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_totalprice FROM orders) WHERE o_totalprice > 100000")
@@ -94,9 +96,9 @@ def _(spark, sf):
     return rows.rows_where(table(spark, sf, "orders"), "o_totalprice", "gt", 100000.0, ["o_orderkey"])
 
 
-@query("drop_row", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 7")
+@query("drop_row", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r <> 8")
 def _(spark, sf):
-    return rows.drop_row(table(spark, sf, "nation"), 7, ["n_nationkey"]).select("n_nationkey", "n_name")
+    return rows.drop_row(table(spark, sf, "orders"), 7, ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
 @query("apply_column", "SELECT event_id, v * 2 + 1 AS v FROM " + EVENTS)
@@ -116,29 +118,11 @@ def _(spark, sf):
 
 # joins
 
-_SIDES = "(SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0) l {} JOIN (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey % 3 = 0) r ON l.k = r.k"
-
-for _how, _sql in {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer": "FULL"}.items():
-
-    @query(f"join_{_how}", f"SELECT l.k AS k, c_name, o_orderkey FROM {_SIDES.format(_sql)}")
-    def _(spark, sf, how=_how):
-        left = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name")
-        right = table(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey")
-        return joins.join(left, right, "k", how)
-
-
-@query("join_outer_coalesced", f"SELECT coalesce(l.k, r.k) AS k, c_name, o_orderkey FROM {_SIDES.format('FULL')}")
-def _(spark, sf):
-    left = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_name")
-    right = table(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    return joins.join(left, right, "k", "outer", coalesce_key=True)
-
-
 # all rows of both tables; keys without a partner come from computed columns
-_WHOLE_SIDES = "(SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name FROM customer) l {} JOIN (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -5 * o_custkey - 1 ELSE o_custkey END AS k, o_orderkey FROM orders) r ON l.k = r.k"
+_SIDES = "(SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name FROM customer) l {} JOIN (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -5 * o_custkey - 1 ELSE o_custkey END AS k, o_orderkey FROM orders) r ON l.k = r.k"
 
 
-def _whole_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     left = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 5 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("k"), "c_name")
     right = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, -5 * F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("k"), "o_orderkey")
     return left, right
@@ -146,14 +130,14 @@ def _whole_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 for _how, _sql in {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer": "FULL"}.items():
 
-    @query(f"join_whole_{_how}", f"SELECT l.k AS k, c_name, o_orderkey FROM {_WHOLE_SIDES.format(_sql)}")
+    @query(f"join_{_how}", f"SELECT l.k AS k, c_name, o_orderkey FROM {_SIDES.format(_sql)}")
     def _(spark, sf, how=_how):
-        return joins.join(*_whole_sides(spark, sf), "k", how)
+        return joins.join(*_sides(spark, sf), "k", how)
 
 
-@query("join_whole_outer_coalesced", f"SELECT coalesce(l.k, r.k) AS k, c_name, o_orderkey FROM {_WHOLE_SIDES.format('FULL')}")
+@query("join_outer_coalesced", f"SELECT coalesce(l.k, r.k) AS k, c_name, o_orderkey FROM {_SIDES.format('FULL')}")
 def _(spark, sf):
-    return joins.join(*_whole_sides(spark, sf), "k", "outer", coalesce_key=True)
+    return joins.join(*_sides(spark, sf), "k", "outer", coalesce_key=True)
 
 
 @query("join_suffix", "SELECT n_nationkey AS k, n_name AS name, s_name AS name_right FROM nation JOIN supplier ON n_nationkey = s_nationkey")
@@ -209,10 +193,14 @@ def _(spark, sf):
     return df.agg(*(F.round(aggregates.aggregate(df, "nv", "quantile", q), 4).alias(n) for n, q in (("q25", 0.25), ("q90", 0.9))))
 
 
-@query("agg_prod", "SELECT CAST(product(n_regionkey + 1) AS BIGINT) AS p FROM nation WHERE n_nationkey < 20")
+_SIGNS = "CASE WHEN o_orderkey % 997 = 0 THEN 1 ELSE -1 END"
+
+
+@query("agg_prod", f"SELECT CAST((SELECT product(n_regionkey + 1) FROM nation) AS BIGINT) AS p, CAST(product({_SIGNS}) AS BIGINT) AS signs, CAST(0 AS BIGINT) AS none FROM orders")
 def _(spark, sf):
-    few = table(spark, sf, "nation").where("n_nationkey < 20").select((F.col("n_regionkey") + 1).cast("bigint").alias("x"))
-    return aggregates.whole(few, {"p": ("x", "prod")})
+    whole = table(spark, sf, "nation").select((F.col("n_regionkey") + 1).cast("bigint").alias("x"))
+    signs = table(spark, sf, "orders").select(F.expr(_SIGNS).cast("bigint").alias("x"), (F.col("o_custkey") * F.expr(f"CASE WHEN {_SIGNS} = 1 THEN 0 ELSE 1 END")).cast("bigint").alias("y"))
+    return aggregates.whole(whole, {"p": ("x", "prod")}).crossJoin(aggregates.whole(signs, {"signs": ("x", "prod"), "none": ("y", "prod")}))  # one row each
 
 
 @query("agg_sum_checked", "SELECT CAST(sum(o_custkey) AS BIGINT) AS s FROM orders")
@@ -296,10 +284,13 @@ for _how in ("sum", "min", "max"):
         return positional.cumulative(events(spark, sf), "n", how, ["event_id"]).select("event_id", "n")
 
 
-@query("cum_prod", "SELECT n_nationkey, CAST(product(1 + n_regionkey % 2) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS x FROM nation")
+_FACTORS = "CASE WHEN event_id % 4001 = 1 THEN -2 WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN -1 ELSE 1 END"
+
+
+@query("cum_prod", f"SELECT event_id, CASE WHEN x IS NOT NULL THEN CAST(product(x) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END AS x FROM (SELECT event_id, {_FACTORS} AS x FROM events)")
 def _(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", (1 + F.col("n_regionkey") % 2).cast("bigint").alias("x"))
-    return positional.cumulative(n, "x", "prod", ["n_nationkey"])
+    e = table(spark, sf, "events").select("event_id", F.expr(_FACTORS).cast("bigint").alias("x"))
+    return positional.cumulative(e, "x", "prod", ["event_id"])
 
 
 @query("cum_sum_partitioned", f"SELECT event_id, CASE WHEN n IS NOT NULL THEN CAST(sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END AS n FROM {EVENTS}")
@@ -373,10 +364,10 @@ def _(spark, sf):
 # sets and nulls
 
 
-@query("concat", "SELECT n_name, n_nationkey FROM nation UNION ALL SELECT n_name, n_nationkey FROM nation WHERE n_nationkey < 5")
+@query("concat", "SELECT c_name AS name, c_custkey AS key FROM customer UNION ALL SELECT s_name, s_suppkey FROM supplier")
 def _(spark, sf):
-    n = table(spark, sf, "nation")
-    return sets.concat(n.select("n_name", "n_nationkey"), n.where("n_nationkey < 5"))
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("key"))
+    return sets.concat(c, table(spark, sf, "supplier").select("s_acctbal", F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
 
 
 @query("unique", f"SELECT event_id, k, n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id) AS r FROM {EVENTS}) WHERE r = 1")
@@ -459,22 +450,35 @@ _SCALAR = {
     "signum": "CAST(sign(v) AS DOUBLE)",
     "square": "round(v * v, 4)",
     "cube": "round(v * v * v, 4)",
-    "reciprocal": "round(1 / v, 8)",
+    "reciprocal": "CASE WHEN v = 0 THEN CAST('infinity' AS DOUBLE) ELSE round(1 / v, 8) END",
     "floor": "floor(v)",
     "ceil": "ceil(v)",
     "round": "round(v)",
     "trunc": "trunc(v)",
 }
 
+# nulls, zeros and both signs
+_CELLS = "CASE WHEN event_type = 'signup' THEN NULL WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE value - 40.0 END"
+
 for _name, _sql in _SCALAR.items():
 
-    @query(f"apply_{_name}", f"SELECT event_id, {_sql} AS v FROM (SELECT event_id, CASE WHEN event_type <> 'signup' THEN value - 40.0 END AS v FROM events) WHERE v <> 0 OR v IS NULL")
+    @query(f"apply_{_name}", f"SELECT event_id, {_sql} AS v FROM (SELECT event_id, {_CELLS} AS v FROM events)")
     def _(spark, sf, name=_name):
-        e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "signup", F.col("value") - 40.0).alias("v")).where("v <> 0 OR v IS NULL")
+        e = table(spark, sf, "events").select("event_id", F.expr(_CELLS).alias("v"))
         out = scalar.mapped(e, "v", name)
         return out.withColumn("v", F.round("v", {"square": 4, "cube": 4, "reciprocal": 8}[name])) if name in ("square", "cube", "reciprocal") else out
 
 
+_EDGES = "CASE event_id % 5 WHEN 0 THEN -2147483648 WHEN 1 THEN 2147483647 WHEN 2 THEN 0 WHEN 3 THEN NULL ELSE CAST(event_id AS INTEGER) END"
+_LEAST = "-2147483648"
+
+for _name, _sql in {"negate": f"CASE WHEN v = {_LEAST} THEN v ELSE -v END", "abs": f"CASE WHEN v = {_LEAST} THEN v ELSE abs(v) END", "signum": "CAST(sign(v) AS INTEGER)"}.items():
+
+    @query(f"apply_{_name}_int", f"SELECT event_id, CAST({_sql} AS INTEGER) AS v FROM (SELECT event_id, {_EDGES} AS v FROM events)")
+    def _(spark, sf, name=_name):
+        return scalar.mapped(table(spark, sf, "events").select("event_id", F.expr(_EDGES).cast("int").alias("v")), "v", name)
+
+
 @query("clip", f"SELECT event_id, CASE WHEN v IS NOT NULL THEN greatest(10.0, least(60.0, v)) END AS v FROM {EVENTS}")
 def _(spark, sf):
     return scalar.clip(events(spark, sf).select("event_id", "v"), "v", 10.0, 60.0)
@@ -547,28 +551,138 @@ def _(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", kinds.bytes_len(b).alias("n"), kinds.bytes_format(b).alias("h"))
 
 
+_TIMES = "CAST(o_orderkey % 86400 AS BIGINT) * 1000000000 + 7000"
+
+
+@query("time_add_format", f"SELECT o_orderkey, t + 1500000000 AS later, concat(lpad(CAST(t // 3600000000000 AS VARCHAR), 2, '0'), ':', lpad(CAST(t // 60000000000 % 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(t // 1000000000 % 60 AS VARCHAR), 2, '0'), '.000007000') AS text FROM (SELECT o_orderkey, {_TIMES} AS t FROM orders)")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.expr(_TIMES).alias("t"))
+    return o.select("o_orderkey", kinds.time_add(F.col("t"), 1_500_000_000).alias("later"), kinds.time_format(F.col("t")).alias("text"))
+
+
+@query("ts_from_format", "SELECT event_id, CAST(ts AS DATE) + INTERVAL 3 HOUR AS t, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS text FROM events")
+def _(spark, sf):
+    ts = F.col("ts")
+    return table(spark, sf, "events").select("event_id", kinds.timestamp_from(kinds.timestamp_date(ts), kinds.time_from(F.lit(3 * 3_600_000), "millis")).alias("t"), kinds.timestamp_format(ts).alias("text"))
+
+
+@query("decimal_helpers", "SELECT o_orderkey, CAST(a + b AS DECIMAL(17, 2)) AS s, CAST(a - b AS DECIMAL(17, 2)) AS d, CAST(a * b AS DECIMAL(20, 4)) AS p, CAST(a AS DECIMAL(18, 4)) AS wide, CAST(a AS DOUBLE) AS f FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15, 2)) AS a, CAST(1.25 AS DECIMAL(5, 2)) AS b FROM orders)")
+def _(spark, sf):
+    a, b = F.col("o_totalprice").cast("decimal(15,2)"), F.lit("1.25").cast("decimal(5,2)")
+    return table(spark, sf, "orders").select("o_orderkey", kinds.decimal_add(a, b, 17, 2).alias("s"), kinds.decimal_sub(a, b, 17, 2).alias("d"), kinds.decimal_mul(a, b, 20, 4).alias("p"), kinds.decimal_rescale(a, 18, 4).alias("wide"), kinds.decimal_to_float(a).alias("f"))
+
+
+@query("uuid_round_trip", "SELECT o_orderkey, concat(h[1:8], '-', h[9:12], '-', h[13:16], '-', h[17:20], '-', h[21:32]) AS u, h FROM (SELECT o_orderkey, lpad(printf('%x', o_orderkey * 2654435761), 32, '0') AS h FROM orders)")
+def _(spark, sf):
+    h = F.lpad(F.lower(F.hex(F.col("o_orderkey") * F.lit(2654435761))), 32, "0")
+    u = kinds.uuid_from_bytes(F.unhex(h))
+    back = kinds.uuid_to_bytes(kinds.uuid_parse(F.upper(u)))
+    return table(spark, sf, "orders").select("o_orderkey", u.alias("u"), kinds.bytes_format(back).alias("h"))
+
+
+@query("binary_slice", "SELECT c_custkey, lower(hex(encode(substr(c_name, 3, 4)))) AS h, CAST(strlen(c_name) AS INTEGER) AS n FROM customer")
+def _(spark, sf):
+    b = F.col("c_name").cast("binary")
+    return table(spark, sf, "customer").select("c_custkey", kinds.bytes_format(kinds.bytes_slice(b, 2, 6)).alias("h"), kinds.bytes_len(b).alias("n"))
+
+
+@query("struct_map_access", "SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b, CAST(2 AS INTEGER) AS n, o_orderstatus AS k, o_custkey + 1 AS v FROM orders")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("s"), F.create_map(F.lit("z"), "o_custkey", "o_orderstatus", F.col("o_custkey") + 1).alias("m"))
+    kind, e = o.schema["s"].dataType, kinds.map_at(F.col("m"), 1)
+    return o.select("o_orderkey", kinds.struct_at(F.col("s"), kind, 0).alias("a"), kinds.struct_at(F.col("s"), kind, 1).alias("b"), kinds.map_len(F.col("m")).alias("n"), e["key"].alias("k"), e["value"].alias("v"))
+
+
+@query("interval_order_format", "SELECT o_orderkey, m * 2629746000 + 10 * 86400000 + 500 AS nominal, concat(m, 'mo 10d 500ms') AS text FROM (SELECT o_orderkey, CAST(o_orderkey % 30 AS BIGINT) AS m FROM orders)")
+def _(spark, sf):
+    i = kinds.interval(F.col("o_orderkey") % 30, 10, 500)
+    return table(spark, sf, "orders").select("o_orderkey", kinds.interval_order(i).alias("nominal"), kinds.interval_format(i).alias("text"))
+
+
+@query("cast_string_float", f"SELECT o_orderkey, TRY_CAST(trim(t) AS DOUBLE) AS t FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '-2e3' ELSE 'x' END AS t FROM orders)")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.expr("CASE o_orderkey % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '-2e3' ELSE 'x' END").alias("t"))
+    return cast.cast_lossy(o, "t", "f64")
+
+
+@query("cast_float_float", "SELECT c_custkey, CAST(c_acctbal AS FLOAT) AS c_acctbal FROM customer")
+def _(spark, sf):
+    return cast.cast(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "f32")
+
+
+@query("cast_number_bool", f"SELECT event_id, n <> 0 AS n FROM {EVENTS}")
+def _(spark, sf):
+    return cast.cast(events(spark, sf).select("event_id", "n"), "n", "bool")
+
+
+@query("cast_float_string", "SELECT event_id, CAST(h AS VARCHAR) AS h FROM (SELECT event_id, (event_id % 100) + 0.5 AS h FROM events)")
+def _(spark, sf):
+    return cast.cast(table(spark, sf, "events").select("event_id", ((F.col("event_id") % 100) + F.lit(0.5)).cast("double").alias("h")), "h", "string")
+
+
+@query("compare_frames", "SELECT TRUE AS same, FALSE AS other, TRUE AS series, FALSE AS shifted")
+def _(spark, sf):
+    o = orders(spark, sf)
+    moved = positional.shift(o, "nv", 1, ["o_orderkey"])
+    found = (
+        rows.same(o, o.repartition(3), ["o_orderkey"]),
+        rows.same(o, rows.apply(o, "nv", lambda c: c + 1), ["o_orderkey"]),
+        rows.same_series(o, "nv", o.repartition(5), "nv", ["o_orderkey"]),
+        rows.same_series(o, "nv", moved, "nv", ["o_orderkey"]),
+    )
+    return spark.createDataFrame([found], "same boolean, other boolean, series boolean, shifted boolean")
+
+
+@query("strict_casts_raise", "SELECT * FROM (VALUES ('i8', TRUE), ('u16', TRUE), ('i64 from text', TRUE)) t(what, raised)")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * -1).alias("low"), F.lit("12x").alias("t"))
+    found = []
+    for what, name, kind in (("i8", "o_orderkey", "i8"), ("u16", "low", "u16"), ("i64 from text", "t", "i64")):
+        try:
+            cast.cast(o, name, kind).write.format("noop").mode("overwrite").save()
+            found.append((what, False))
+        except Exception:  # the error is the result
+            found.append((what, True))
+    return spark.createDataFrame(found, "what string, raised boolean")
+
+
 # files
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryframe-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise FrameError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="quarryframe-")
     return f"{base.rstrip('/')}/quarryframe-{uuid.uuid4().hex}"
 
 
-_NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+# a table of all rows, with nulls, that files of text can hold; in a text file a null text is an empty one
+_TEXTFILE = f"(SELECT event_id, k, round(v, 3) AS v, n FROM {EVENTS})"
+
 
+def _textfile(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).select("event_id", "k", F.round("v", 3).alias("v"), "n")
 
-@query("csv_roundtrip", _NATION)
+
+@query("csv_roundtrip", f"SELECT event_id, coalesce(k, '') AS k, v, n FROM {_TEXTFILE}")
 def _(spark, sf):
-    csv.write_csv(table(spark, sf, "nation"), path := _folder(spark))
+    csv.write_csv(_textfile(spark, sf), path := _folder(spark))
     return csv.read_csv(spark, path)
 
 
+@query("csv_position", "SELECT event_id, r - 101 AS at FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM events) WHERE r > 100")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id")
+    csv.write_csv(e.repartitionByRange(3, "event_id").sortWithinPartitions("event_id"), path := _folder(spark))
+    return csv.read_csv(spark, path, skip_rows=100, position="at")
+
+
 for _layout in ("ndjson", "rows", "columns"):
 
-    @query(f"json_{_layout}_roundtrip", _NATION)
+    @query(f"json_{_layout}_roundtrip", f"SELECT event_id, k, v, n FROM {_TEXTFILE}")
     def _(spark, sf, layout=_layout):
-        json.write_json(table(spark, sf, "nation"), path := _folder(spark), layout)
+        json.write_json(_textfile(spark, sf), path := _folder(spark), layout)
         return json.read_json(spark, path)
 
 
@@ -578,17 +692,48 @@ def _(spark, sf):
     return parquet.read_parquet(spark, path)
 
 
-@query("parquet_compat", "SELECT * FROM region")
+@query("parquet_compat", "SELECT * FROM orders")
 def _(spark, sf):
-    return parquet.read_parquet(spark, f"{sf}/region.parquet", compat=True)
+    return parquet.read_parquet(spark, f"{sf}/orders.parquet", compat=True)
 
 
-@query("tdf_roundtrip", "SELECT * FROM nation")
+@query("parquet_int96", "SELECT event_id, ts FROM events")
 def _(spark, sf):
-    tdf.write_tdf(table(spark, sf, "nation"), path := _folder(spark))
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    parquet.write_parquet(e, path := _folder(spark), emit_int96=True)
+    return parquet.read_parquet(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("tdf_roundtrip", f"SELECT event_id, k, v, n, ts FROM {EVENTS} JOIN (SELECT event_id AS e, ts FROM events) ON e = event_id")
+def _(spark, sf):
+    e = events(spark, sf).drop("user_id").join(table(spark, sf, "events").select("event_id", "ts"), "event_id")
+    tdf.write_tdf(e, path := _folder(spark))
     return tdf.read_tdf(spark, path)
 
 
 @query("generate")
 def _(spark, sf):
     return generate.generate(spark, 1000, seed=1)
+
+
+# the generator's rules: ranges, distributions, and the same frame from every partitioning
+@query("generate_rules", "SELECT 5000 AS n, TRUE AS keys, TRUE AS i32, TRUE AS i64, TRUE AS u32, TRUE AS dates, TRUE AS stamps, TRUE AS decimals, TRUE AS words, TRUE AS nulls, TRUE AS again, TRUE AS differs")
+def _(spark, sf):
+    g = generate.generate(spark, 5000, seed=1)
+    same = F.bit_xor(F.xxhash64(*g.columns))
+    digest = [x.agg(same).first()[0] for x in (g, generate.generate(spark, 5000, seed=1).repartition(7), generate.generate(spark, 5000, seed=2))]
+    share = F.count_if(F.col("c_i64").isNull()) / F.count(F.lit(1))
+    return g.agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        (F.bool_and(F.col("c_key").between(0, 5000 // 16 - 1)) & (F.count_if(F.col("c_key").isNull()) == 0)).alias("keys"),
+        ((F.min("c_i32") == -(1 << 31)) & (F.max("c_i32") == (1 << 31) - 1)).alias("i32"),
+        F.bool_and(F.col("c_i64").between(-(10**9), 10**9)).alias("i64"),
+        ((F.min("c_u32") == 0) & (F.max("c_u32") == (1 << 32) - 1)).alias("u32"),
+        F.bool_and(F.unix_date("c_date").between(10957, 10957 + 10957)).alias("dates"),
+        F.bool_and(F.unix_micros("c_timestamp").between(946_684_800_000_000, 1_893_456_000_000_000)).alias("stamps"),
+        F.bool_and(F.abs("c_dec") <= 99_999.99).alias("decimals"),
+        F.bool_and(F.col("c_str").rlike("^[a-z]{1,8}$")).alias("words"),
+        ((share > 0.1) & (share < 0.2)).alias("nulls"),
+        F.lit(digest[0] == digest[1]).alias("again"),
+        F.lit(digest[0] != digest[2]).alias("differs"),
+    )

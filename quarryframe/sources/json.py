@@ -2,7 +2,8 @@
 
 Cells are read as variants; one pass over all rows finds each column's types: any string makes it string
 (others as text), else any fraction or integer beyond 64 bits double (booleans 0.0), else any integer i64
-(booleans 1 or 0), else boolean; all null is string.  Columns stand in order of first appearance.
+(booleans 1 or 0), else boolean; all null is string.  Columns stand in order of first appearance, which the
+keys of the text itself tell, as variants sort theirs.  Rows are in order by `position` alone.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryframe import types
 from quarryframe.errors import FrameError, RaggedFrame
-from quarryframe.operators.rows import ascending, quoted
+from quarryframe.operators.rows import quoted
 from quarryframe.sources.files import save_bytes, with_file_position
 
 
@@ -38,13 +40,13 @@ def read_json(spark: SparkSession, path: str, layout: str | None = None, positio
         return spark.createDataFrame([], T.StructType([]))
     if layout == "ndjson":
         lines = with_file_position(spark.read.text(path), "__pos").where("trim(value) != ''")
-        cells = _objects(lines.select("__pos", F.parse_json("value").alias("v")))
+        cells = _objects(lines.select("__pos", "value"))
     elif layout == "rows":
-        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-        items = F.expr("variant_get(v, '$', 'array<variant>')")
-        cells = _objects(whole.select(F.posexplode(items)).select(F.col("pos").cast("long").alias("__pos"), F.col("col").alias("v")))
+        whole = spark.read.text(path, wholetext=True)
+        items = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
+        cells = _objects(whole.select(F.posexplode(items)).select(F.col("pos").cast("long").alias("__pos"), F.col("col").alias("value")))
     elif layout == "columns":
-        cells = _columns(spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v")))
+        cells = _columns(spark.read.text(path, wholetext=True))
     else:
         raise FrameError(f"no layout {layout!r}")
     names = [c for c in cells.columns if c != "__pos"]
@@ -52,20 +54,21 @@ def read_json(spark: SparkSession, path: str, layout: str | None = None, positio
     out = [_typed(quoted(c), set(kinds[i])).alias(c) for i, c in enumerate(names)]
     if position:
         return cells.select(*out, F.col("__pos").alias(position))
-    return cells.orderBy(*ascending(["__pos"])).select(*out)
+    return cells.select(*out)
 
 
-def _objects(rows: DataFrame) -> DataFrame:
-    """__pos and a variant column for every key, in order of first appearance."""
-    # keys of an object come in order of name, so the text of the object tells their order
-    text = rows.select("__pos", F.to_json("v").alias("t"), F.explode(F.json_object_keys(F.to_json("v"))).alias("key"))
-    firsts = text.groupBy("key").agg(F.min(F.struct("__pos", F.instr(F.col("t"), F.concat(F.lit('"'), F.col("key"), F.lit('":'))).alias("at"))).alias("first"))
+def _objects(texts: DataFrame) -> DataFrame:
+    """From (__pos, value), the text of an object: __pos and a variant column for every key, in order of first appearance."""
+    found = texts.select("__pos", F.posexplode(F.json_object_keys("value")).alias("at", "key"))
+    firsts = found.groupBy("key").agg(F.min(F.struct("__pos", "at")).alias("first"))
     keys = [r["key"] for r in firsts.orderBy("first", "key").collect()]  # a row a column
+    rows = texts.select("__pos", F.parse_json("value").alias("v"))
     return rows.select("__pos", *(_member(F.col("v"), k).alias(k) for k in keys))
 
 
-def _columns(whole: DataFrame) -> DataFrame:
-    keys = [r["key"] for r in whole.select(F.explode(F.json_object_keys(F.to_json("v"))).alias("key")).distinct().orderBy("key").collect()]
+def _columns(texts: DataFrame) -> DataFrame:
+    keys = [r["key"] for r in texts.select(F.posexplode(F.json_object_keys("value")).alias("at", "key")).groupBy("key").agg(F.min("at").alias("at")).orderBy("at").collect()]
+    whole = texts.select(F.parse_json("value").alias("v"))
     arrays = whole.select(*(F.variant_get(F.col("v"), "$['" + k.replace("'", "\\'") + "']", "array<variant>").alias(f"a{i}") for i, k in enumerate(keys)))
     sizes = arrays.select(*(F.size(f"a{i}").alias(f"s{i}") for i in range(len(keys)))).collect()
     if any(len(set(row)) > 1 for row in sizes):
@@ -95,7 +98,7 @@ def _value(df: DataFrame, name: str, compat: bool) -> Column:
         return c.cast("string")
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(c))
-    if isinstance(kind, T.DecimalType) and kind.scale:
+    if types.label(df.schema[name]) == "decimal":  # quoted at any scale; wide integers are bare
         return c.cast("string")
     return c
 
