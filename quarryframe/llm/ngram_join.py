@@ -279,7 +279,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, thre
     firsts is (node, first_id, text_key), and the pairs are few: what the points' bounds leave.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = firsts.join(asked, "node", "left_semi").select("node", F.col("first_id").alias("a_id"), F.col("text_key").alias("a_key"))
+    # written, so that its size is known when the join with the texts is planned, and a small one is broadcast
+    where = common.materialise(firsts.join(asked, "node", "left_semi").select("node", F.col("first_id").alias("a_id"), F.col("text_key").alias("a_key")))
     plain = _documents(docs)
     texts = plain.join(where, plain["doc_id"].eqNullSafe(where["a_id"]) & (plain["text_key"] == where["a_key"])).select("node", "text")
     tokens = common.materialise(_tokens_of(texts, n))
@@ -288,7 +289,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, thre
     union = F.size("ta") + F.size("tb") - same
     # repeated rows of one id and text give a node's tokens once a task
     found = common.materialise(both.where(same * threshold.denominator >= union * threshold.numerator).select("a", "b").distinct())
-    common.drop(tokens)
+    common.drop(tokens, where)
     return found
 
 
@@ -470,12 +471,17 @@ def linked(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
 def connected(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """linked(), with cells given: found is what sets_of() gives, and links are sought in cells only."""
+    return classes(docs, found, n, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, found: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row: connected(), with the texts' hashes."""
     rows, groups = _grouped(docs, found, n, threshold)
     names = common.materialise(groups.groupBy("group").agg(F.min("first_id").alias("component_id")))
     final = common.materialise(groups.join(names, "group").select("node", "component_id"))
     common.drop(groups, names)
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(final, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    return rows.join(final, "node", "left").select("doc_id", "text_key", "n_shingles", alone.alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
