@@ -3,7 +3,8 @@
 Universal hash permutations a * x + b modulo 2^64 (a odd) of the shingles' 64-bit hashes, in numpy; a
 fingerprint slot keeps 16 mixed bits of the least value.  The likeness of two fingerprints is their share
 of equal slots, an estimate of the Jaccard similarity.  `near_duplicates` joins bands of the signatures
-in Spark and verifies the pairs that meet by their exact Jaccard similarity.
+in Spark and verifies the pairs that meet by their exact Jaccard similarity; the query gives the class that
+these links lead to as near_id, the smallest doc_id in it.
 
 Cases.  Null text: as empty.  Empty texts have a fingerprint of their own, like only itself.  A text of
 one to four words has its word sequence as its one shingle.  Texts are read whole.  In `edited`,
@@ -23,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quarryframe.llm import common, ngram_join, textops
@@ -80,8 +82,8 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, peek, doc_id, text), dealt by ranges of doc_id and sorted; each part ends with a copy of the next one's first row.
+def with_neighbours(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(part, peek, doc_id, text) and the kept columns, dealt by ranges of doc_id and sorted; each part ends with a copy of the next one's first row.
 
     The ranges' bounds are ids that occur, so the first rows are known without a look at the parts.
     """
@@ -99,17 +101,18 @@ def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:
         to = [[2 * p, 2 * ((p - 1) % n) + 1] if f else [2 * p] for p, f in zip(part.tolist(), is_first.tolist(), strict=True)]
         return pa.array(to, pa.list_(pa.int32()))
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = plain.select(F.explode(places("doc_id")).alias("place"), "doc_id", "text").select(F.expr("cast(place div 2 as int)").alias("part"), (F.col("place") % 2 == 1).alias("peek"), "doc_id", "text")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    dealt = plain.select(F.explode(places("doc_id")).alias("place"), "doc_id", "text", *keep).select(F.expr("cast(place div 2 as int)").alias("part"), (F.col("place") % 2 == 1).alias("peek"), "doc_id", "text", *keep)
     return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "peek", F.col("doc_id").asc_nulls_first(), "text")
 
 
-def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+def edited(docs: DataFrame, parts: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) and the kept columns."""
     parts = parts or common.partitions(docs.sparkSession)
+    kinds = [to_arrow_type(docs.schema[k].dataType) for k in keep]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def emit(ids: list, texts: list[str], bits: np.ndarray) -> pa.RecordBatch:
+    def emit(ids: list, texts: list[str], bits: np.ndarray, kept: list[list]) -> pa.RecordBatch:
         """Rows for all but the last text, which follows the one before it."""
         changed = [_edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
         other = fingerprints(signatures(pa.array(changed, pa.large_string())))
@@ -121,11 +124,13 @@ def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
             _hex(other),
             pa.array(likeness(bits[:-1], other)),
             pa.array(likeness(bits[:-1], bits[1:])),
-        ], names)
+            *(pa.array(x[:-1], kind) for x, kind in zip(kept, kinds, strict=True)),
+        ], [*names, *keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
+        kept: list[list] = [[] for _ in keep]
         bits = np.zeros((0, SLOTS), np.uint16)
         over = False
         for batch in batches:
@@ -136,17 +141,21 @@ def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 looks = rows.column("peek").to_pylist()
                 if over:
                     break
-                keep = looks.index(True) + 1 if True in looks else len(looks)
-                over = keep < len(looks) or looks[keep - 1]
-                ids += rows.column("doc_id").to_pylist()[:keep]
-                texts += part.to_pylist()[:keep]
-                bits = np.concatenate([bits, fingerprints(signatures(part.slice(0, keep)))])
+                count = looks.index(True) + 1 if True in looks else len(looks)
+                over = count < len(looks) or looks[count - 1]
+                ids += rows.column("doc_id").to_pylist()[:count]
+                texts += part.to_pylist()[:count]
+                for column, values in zip(keep, kept, strict=True):
+                    values += rows.column(column).to_pylist()[:count]
+                bits = np.concatenate([bits, fingerprints(signatures(part.slice(0, count)))])
                 if len(texts) > 1:
-                    yield emit(ids, texts, bits)
-                    ids, texts, bits = ids[-1:], texts[-1:], bits[-1:]
+                    yield emit(ids, texts, bits, kept)
+                    ids, texts, bits, kept = ids[-1:], texts[-1:], bits[-1:], [x[-1:] for x in kept]
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_neighbours(docs, parts).select("peek", "doc_id", "text").mapInArrow(run, schema)
+    types = dict(docs.dtypes)
+    schema += "".join(f", `{k}` {types[k]}" for k in keep)
+    return with_neighbours(docs, parts, keep).select("peek", "doc_id", "text", *keep).mapInArrow(run, schema)
 
 
 class Bands:
@@ -174,5 +183,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     return ngram_join.connected(docs, ngram_join.sets_of(docs, words, Bands()), words, threshold)
 
 
+def with_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """(doc_id, text, near_id): every row with its class of near_duplicates()."""
+    found = ngram_join.classes(docs, ngram_join.sets_of(docs, words, Bands()), words, threshold)
+    known = common.materialise(found.groupBy("doc_id", "text_key").agg(F.min("component_id").alias("near_id"))).toDF("c_id", "c_key", "near_id")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ngram_join.text_key().alias("key"))
+    return plain.join(known, plain["doc_id"].eqNullSafe(known["c_id"]) & (plain["key"] == known["c_key"])).select("doc_id", "text", "near_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited(common.table(spark, sf_dir, "documents"))
+    return edited(with_classes(common.table(spark, sf_dir, "documents")), keep=("near_id",))

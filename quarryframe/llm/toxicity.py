@@ -2,7 +2,8 @@
 
 Terms are bare lower-case words; all terms of a bounded sample of labelled texts have a weight, near
 copies counting once, and document frequencies come from every document.  A term's inverse document
-frequency is multiplied by how strongly the examples tie it to either label, which is never 0.  Every
+frequency is multiplied by how strongly the examples tie it to either label, which is never 0; how far that
+counts, from hardly to not at all, is chosen by the error on training rows that are no examples.  Every
 example of either label stands in an index of postings, with the commonest terms in a dense matrix, and a
 text is compared with all of them, so the neighbours are exact.  Their votes, weighted by squared
 similarity, are calibrated by isotonic regression on labelled rows that are no examples; the nearest
@@ -30,8 +31,8 @@ from quarryframe.llm import common, minhash, quality, textops
 #: Bounds on labelled rows (half of each label; a quarter calibrates) and on the bytes of their texts, which the driver holds.
 SAMPLE, SAMPLE_BYTES = 6_000, 1 << 26
 NEIGHBOURS, SEED = 16, 13
-#: Least tie to a label, so that every term weighs.
-FLOOR = 0.01
+#: Least ties to a label that are tried, so that every term weighs; the last, far over any tie, is plain TF-IDF.
+FLOORS = (0.01, 0.1, 1.0, 1e6)
 #: Share of the examples from which on a term is common; texts and postings that one step of a search handles.
 COMMON, TEXTS, POSTINGS = 0.125, 64, 1 << 18
 THRESHOLD = 0.7
@@ -163,12 +164,12 @@ def distinct_rows(texts: pa.Array, y: np.ndarray) -> np.ndarray:
 
 
 def ties(examples: Sparse, y: np.ndarray) -> np.ndarray:
-    """How strongly each term goes with either label: the size of the phi coefficient, at least FLOOR."""
+    """How strongly each term goes with either label: the size of the phi coefficient."""
     n1, n = y.sum(), len(y)
     in1 = np.bincount(examples.cols, weights=y[examples.owners()], minlength=examples.width)
     both = np.bincount(examples.cols, minlength=examples.width)
     apart = np.abs(in1 / n1 - (both - in1) / (n - n1)) * np.sqrt(n1 * (n - n1)) / n
-    return FLOOR + apart / np.sqrt(np.maximum(both / n * (1 - both / n), 1e-9))
+    return apart / np.sqrt(np.maximum(both / n * (1 - both / n), 1e-9))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -208,14 +209,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     parts = [_vectors(vocabulary, idf, part) for part in common.chunks(texts)]
     vectors = Sparse(np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v.cuts) for v in parts]))]), np.concatenate([v.cols for v in parts]), np.concatenate([v.values for v in parts]), len(vocabulary))
     del parts, texts
-    term_weight = idf * ties(vectors.take(np.flatnonzero(~calibrates)), y[~calibrates])
-    vectors.values *= (term_weight / idf)[vectors.cols]
-    vectors.values /= np.sqrt(np.bincount(vectors.owners(), weights=vectors.values**2, minlength=len(vectors)))[vectors.owners()]
-    index = Index(vectors.take(np.flatnonzero(~calibrates)), y[~calibrates], rows["doc_id"][~calibrates].tolist())
-    votes = np.array([vote(index, *near)[0] for near in index.search(vectors.take(np.flatnonzero(calibrates)))])
+    tie = ties(vectors.take(np.flatnonzero(~calibrates)), y[~calibrates])
     truth = y[calibrates]
-    weight = np.where(truth == 1, prior / max(truth.sum(), 1), (1 - prior) / max((1 - truth).sum(), 1)) * len(truth)
-    return {"vocabulary": vocabulary, "weight": term_weight, "index": index, "knots": quality.isotonic(votes, truth, np.maximum(weight, 1e-9))}
+    weight = np.maximum(np.where(truth == 1, prior / max(truth.sum(), 1), (1 - prior) / max((1 - truth).sum(), 1)) * len(truth), 1e-9)
+    ids = rows["doc_id"][~calibrates].tolist()
+    best: tuple[float, dict] | None = None
+    for floor in FLOORS:
+        tied = (floor + tie) / (floor + 1)
+        values = vectors.values * tied[vectors.cols]
+        values /= np.sqrt(np.bincount(vectors.owners(), weights=values**2, minlength=len(vectors)))[vectors.owners()]
+        scaled = Sparse(vectors.cuts, vectors.cols, values, vectors.width)
+        index = Index(scaled.take(np.flatnonzero(~calibrates)), y[~calibrates], ids)
+        votes = np.array([vote(index, *near)[0] for near in index.search(scaled.take(np.flatnonzero(calibrates)))])
+        error = crossed_error(votes, truth, weight)
+        if best is None or error < best[0]:
+            best = error, {"vocabulary": vocabulary, "weight": idf * tied, "index": index, "knots": quality.isotonic(votes, truth, weight)}
+    return best[1]
+
+
+def crossed_error(votes: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted squared error of calibrated votes, each half calibrated by the other."""
+    half = np.arange(len(votes)) % 2 == 0
+    total = 0.0
+    for fit in (half, ~half):
+        if fit.any() and not fit.all():
+            guess = np.interp(votes[~fit], *quality.isotonic(votes[fit], truth[fit], weight[fit]))
+            total += float((weight[~fit] * (guess - truth[~fit]) ** 2).sum())
+    return round(total, 9)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

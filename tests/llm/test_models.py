@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -92,6 +94,53 @@ def test_nearest_is_exact():
         assert [(-s, i) for s, i in zip(sims, rows, strict=True)] == best
 
 
+def test_toxicity_is_the_vote_of_all_examples(spark):
+    """The query's scores against a plain cosine over every example, with equal texts, ties, nulls and clashing columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 4000")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "zzzz qqqq"), (None, "the words"), (-4, "the words")], "doc_id long, text string")
+    docs = docs.union(odd).withColumns({"score": F.lit("clash"), "evidence": F.lit(1), "y": F.lit(2)})
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    index, place = model["index"], {int(h): i for i, h in enumerate(model["vocabulary"])}
+    examples = np.zeros((len(index.labels), len(place)))
+    v = index.vectors
+    examples[v.owners(), v.cols] = v.values
+    got = [r for r in toxicity.score(docs, model).collect()]
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    scores = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == len(texts) and scores[None] == scores[-4] and scores[-1] == scores[-2] == scores[-3]
+    for doc, text in random.Random(1).sample(texts, 80):
+        q = np.zeros(len(place))
+        hashes, _ = toxicity.terms(*common.raw(common.as_texts(pa.array([text]))))
+        for h, n in Counter(hashes.tolist()).items():
+            if h in place:
+                q[place[h]] = (1 + np.log(n)) * model["weight"][place[h]]
+        if q.any():
+            q /= np.linalg.norm(q)
+        sims = np.round(examples @ q, 9)
+        near = sorted((-s, i) for i, s in enumerate(sims) if s > 0)[: toxicity.NEIGHBOURS]
+        share = round(sum(s * s * index.labels[i] for s, i in near) / sum(s * s for s, _ in near), 9) if near else -1.0
+        assert scores[doc] == pytest.approx(float(np.clip(np.interp(share, *model["knots"]), 0, 1)), abs=1e-6)
+
+
+def test_quality_approaches_kernel_ridge(spark):
+    """Random features against ridge regression with the Gaussian kernel itself, and scores of odd texts."""
+    rng = np.random.default_rng(5)
+    stats = rng.normal(size=(120, quality.N_STATS))
+    waves = quality._waves(stats, np.zeros(quality.N_STATS), np.ones(quality.N_STATS))[:, :-1]
+    far = ((stats[:, None] - stats[None]) ** 2).sum(axis=2)
+    kernel = np.exp(-far / (2 * quality.N_STATS))
+    assert np.abs(waves @ waves.T - kernel).max() < 6 / np.sqrt(quality.FEATURES)
+    y = (stats[:, 0] > 0).astype(float)
+    exact = kernel @ np.linalg.solve(kernel + quality.RIDGE * np.eye(120), y)
+    near = waves @ np.linalg.solve(waves.T @ waves + quality.RIDGE * np.eye(quality.FEATURES), waves.T @ y)
+    assert np.corrcoef(exact, near)[0, 1] > 0.9
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(common.labelled_sample(docs, labels, "quality", 400))
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "word " * 200_000)], "doc_id long, text string").withColumns({"y": F.lit(1), "stats": F.lit("x")})
+    scores = {r["doc_id"]: r["score"] for r in quality.score(odd, model).collect()}
+    assert scores[1] == scores[2] and all(0 <= x <= 1 for x in scores.values())
+
+
 def test_toxicity_weighs_all_terms_of_both_labels(spark):
     rows = [(i, f"alpha{i} beta{i % 9} gamma{i % 5} delta{i % 7} zeta{i % 11}" + " vile" * (i % 3 == 0), int(i % 3 == 0)) for i in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "gamma3 alone"), (1001, "no sampled term")], "doc_id long, text string")
