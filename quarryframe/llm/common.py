@@ -14,12 +14,27 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles, so that numpy temporaries stay small.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that Spark hands to Python (at least one row).
+BATCH_BYTES = 1 << 22
 
 
+#: Bytes of the rows of a table that is broadcast after a look at its size.
+BROADCAST = 1 << 20
+
 _own_dir = ""
 
 
+def tuned(spark: SparkSession) -> None:
+    """Settings that the operators rest on: shuffles go with their job, and batches for Python hold few bytes.
+
+    With batches of so many rows alone, long texts would make them as large as memory.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,12 +56,20 @@ def materialise(df: DataFrame) -> DataFrame:
     Spark deletes the shuffles of the job with its end, as nothing reads them any more.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    tuned(spark)
     path = f"{shared_dir(spark).rstrip('/')}/quarryframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its rows, of at most row_bytes, hold no more than BROADCAST bytes.
+
+    Beyond that it is joined like any other, by shuffle.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that materialise() wrote and no later step reads."""
     for df in tables:

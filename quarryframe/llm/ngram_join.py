@@ -279,10 +279,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, thre
     firsts is (node, first_id, text_key), and the pairs are few: what the points' bounds leave.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # written, so that its size is known when the join with the texts is planned, and a small one is broadcast
+    # written, so that its size is known when the join with the texts is planned: a small one spares their shuffle
     where = common.materialise(firsts.join(asked, "node", "left_semi").select("node", F.col("first_id").alias("a_id"), F.col("text_key").alias("a_key")))
     plain = _documents(docs)
-    texts = plain.join(where, plain["doc_id"].eqNullSafe(where["a_id"]) & (plain["text_key"] == where["a_key"])).select("node", "text")
+    texts = plain.join(common.small(where, 24), plain["doc_id"].eqNullSafe(where["a_id"]) & (plain["text_key"] == where["a_key"])).select("node", "text")
     tokens = common.materialise(_tokens_of(texts, n))
     both = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
     same = F.size(F.array_intersect("ta", "tb")).cast("long")
