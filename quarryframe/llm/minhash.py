@@ -73,8 +73,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(empty_a | empty_b, (empty_a & empty_b).astype(float), same)
 
 
-def _hex(bits: np.ndarray) -> pa.Array:
-    return pa.array([row.astype(">u2").tobytes().hex() for row in bits], pa.string())
+def _bytes(bits: np.ndarray) -> pa.Array:
+    return pa.array([row.astype(">u2").tobytes() for row in bits], pa.binary())
 
 
 def _edited(text: str, following: str) -> str:
@@ -108,6 +108,15 @@ def with_neighbours(docs: DataFrame, parts: int, keep: tuple[str, ...] = ()) ->
 
 def edited(docs: DataFrame, parts: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) and the kept columns."""
+    return _in_hex(_in_bytes(docs, parts, keep))
+
+
+def _in_hex(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.lower(F.hex(c)).alias(c) if kind == "binary" else c for c, kind in rows.dtypes))
+
+
+def _in_bytes(docs: DataFrame, parts: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """edited(), with hashes and fingerprints as bytes, half as long."""
     parts = parts or common.partitions(docs.sparkSession)
     kinds = [to_arrow_type(docs.schema[k].dataType) for k in keep]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -119,9 +128,9 @@ def edited(docs: DataFrame, parts: int | None = None, keep: tuple[str, ...] = ()
         return pa.RecordBatch.from_arrays([
             pa.array(ids[:-1], pa.int64()),
             pa.array([len(t) for t in texts[:-1]], pa.int64()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-            _hex(bits[:-1]),
-            _hex(other),
+            pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
+            _bytes(bits[:-1]),
+            _bytes(other),
             pa.array(likeness(bits[:-1], other)),
             pa.array(likeness(bits[:-1], bits[1:])),
             *(pa.array(x[:-1], kind) for x, kind in zip(kept, kinds, strict=True)),
@@ -152,7 +161,7 @@ def edited(docs: DataFrame, parts: int | None = None, keep: tuple[str, ...] = ()
                     yield emit(ids, texts, bits, kept)
                     ids, texts, bits, kept = ids[-1:], texts[-1:], bits[-1:], [x[-1:] for x in kept]
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     types = dict(docs.dtypes)
     schema += "".join(f", `{k}` {types[k]}" for k in keep)
     return with_neighbours(docs, parts, keep).select("peek", "doc_id", "text", *keep).mapInArrow(run, schema)
@@ -183,13 +192,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     return ngram_join.connected(docs, ngram_join.sets_of(docs, words, Bands()), words, threshold)
 
 
-def with_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """(doc_id, text, near_id): every row with its class of near_duplicates()."""
+def with_classes(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, parts: int | None = None) -> DataFrame:
+    """edited(), with near_id, the class of near_duplicates(); both are joined by id and text hash, so texts move once."""
     found = ngram_join.classes(docs, ngram_join.sets_of(docs, words, Bands()), words, threshold)
     known = common.materialise(found.groupBy("doc_id", "text_key").agg(F.min("component_id").alias("near_id"))).toDF("c_id", "c_key", "near_id")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ngram_join.text_key().alias("key"))
-    return plain.join(known, plain["doc_id"].eqNullSafe(known["c_id"]) & (plain["key"] == known["c_key"])).select("doc_id", "text", "near_id")
+    plain = docs.select("doc_id", "text", ngram_join.text_key().alias("text_key"))
+    rows = _in_bytes(plain, parts, keep=("text_key",))
+    return _in_hex(rows.join(known, rows["doc_id"].eqNullSafe(known["c_id"]) & (rows["text_key"] == known["c_key"])).drop("text_key", "c_id", "c_key"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited(with_classes(common.table(spark, sf_dir, "documents")), keep=("near_id",))
+    return with_classes(common.table(spark, sf_dir, "documents"))

@@ -177,7 +177,7 @@ def test_fingerprint_classes(spark):
 def test_fingerprint_query_gives_the_classes(spark):
     """near_id through the query's own path, against all pairs; a hot band, one id with two texts, null ids."""
     rows = corpus(7, groups=3, size=15) + [(6000 + i, "the same crowd of words in one hot band") for i in range(60)]
-    got = minhash.edited(minhash.with_classes(spark.createDataFrame(rows, "doc_id long, text string")), 3, ("near_id",)).collect()
+    got = minhash.with_classes(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"text_key": F.lit("clash"), "near_id": F.lit(0)}), parts=3).collect()
     want = brute(rows, 5, Fraction(4, 5))
     assert sorted(((r["doc_id"], r["near_id"]) for r in got), key=str) == sorted(((d, c) for d, _, c in want), key=str)
 
