@@ -108,10 +108,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     place = {lang: i for i, lang in enumerate(langs)}
     logs = np.full((len(langs), BUCKETS), -np.log(BUCKETS))  # of languages without any n-gram
-    for row in known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
+    sums = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    each = sums.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toArrow()  # at most BUCKETS numbers a language
+    for lang, at, n in zip(*(each[c].combine_chunks() for c in ("lang", "at", "n")), strict=True):
         found = np.ones(BUCKETS)
-        found[row["at"]] += row["n"]
-        logs[place[row["lang"]]] = np.log(found / found.sum())
+        found[at.values.to_numpy()] += n.values.to_numpy()
+        logs[place[lang.as_py()]] = np.log(found / found.sum())
     n = np.array([priors[x] for x in langs], float)
     return langs, np.log(n / n.sum()), logs
 
