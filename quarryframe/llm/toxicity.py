@@ -4,8 +4,8 @@ Terms are bare lower-case words; all terms of a bounded sample of labelled texts
 copies counting once, and document frequencies come from every document.  A term's inverse document
 frequency is multiplied by how strongly the examples tie it to either label, which is never 0; how far that
 counts, from hardly to not at all, is chosen by the error on training rows that are no examples.  Every
-example of either label stands in an index of postings, with the commonest terms in a dense matrix, and a
-text is compared with all of them, so the neighbours are exact.  Their votes, weighted by squared
+example of either label stands in a block-max inverted index: like examples share blocks, and a text is
+compared with the blocks whose bound reaches its k-th similarity, so the neighbours are exact.  Their votes, weighted by squared
 similarity, are calibrated by isotonic regression on labelled rows that are no examples; the nearest
 examples are the evidence.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ NEIGHBOURS, SEED = 16, 13
 FLOORS = (0.01, 0.1, 1.0, 1e6)
 #: Share of the examples from which on a term is common; texts and postings that one step of a search handles.
 COMMON, TEXTS, POSTINGS = 0.125, 64, 1 << 18
+#: Examples of a block; blocks that a search scores first; what rounding may hide.
+BLOCK, FIRST, SLACK = 64, 2, 1e-8
+#: Directions, and rounds that sharpen them, by which like examples are brought together.
+DIRECTIONS, ROUNDS = 16, 3
 THRESHOLD = 0.7
 
 
@@ -85,7 +90,11 @@ class Sparse:
 
 
 class Index:
-    """Postings of the examples' unit vectors; the terms that many examples have stand in a dense matrix."""
+    """A block-max inverted index of the examples' unit vectors, whose weights are at least 0.
+
+    A term's postings are cut into blocks of BLOCK examples, each with its largest weight; the terms that many
+    examples have, whose maxima would bound little, stand in a dense matrix.
+    """
 
     def __init__(self, vectors: Sparse | np.ndarray, labels: np.ndarray, ids: list):
         self.postings = p = (vectors if isinstance(vectors, Sparse) else Sparse.of(vectors)).turned()
@@ -95,17 +104,26 @@ class Index:
         few = p.take(np.flatnonzero(common_))
         self.dense = np.zeros((len(few), p.width))
         self.dense[few.owners(), few.cols] = few.values
+        # an entry for each term and block: where its postings begin, and their largest weight
+        self.starts = np.arange(0, p.width, BLOCK)
+        heads = np.flatnonzero(np.diff(p.owners() * len(self.starts) + p.cols // BLOCK, prepend=-1))
+        self.heads = np.append(heads, len(p.cols))
+        self.tops = Sparse(np.searchsorted(heads, p.cuts), p.cols[heads] // BLOCK, np.maximum.reduceat(p.values, heads), len(self.starts))
 
     @property
     def vectors(self) -> Sparse:
         return self.postings.turned()
 
     def search(self, queries: Sparse, k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the similarities above 0 and indexes of its k nearest examples; equal ones by smaller index."""
-        p, n = self.postings, self.postings.width
+        """For each query the similarities above 0 and indexes of its k nearest examples; equal ones by smaller index.
+
+        What common terms add is known for all examples at once; with the maxima of the other terms it bounds the
+        blocks.  The blocks of the largest bounds are scored first, then all whose bound reaches the k-th so far.
+        """
+        p, tops, n = self.postings, self.tops, self.postings.width
         place = self.place[queries.cols]
-        lengths = np.where(place < 0, p.cuts[queries.cols + 1] - p.cuts[queries.cols], 0)
-        work = np.concatenate([[0], np.cumsum(lengths)])[queries.cuts]
+        postings, entries = (np.where(place < 0, x.cuts[queries.cols + 1] - x.cuts[queries.cols], 0) for x in (p, tops))
+        work = np.concatenate([[0], np.cumsum(postings)])[queries.cuts]
         a = 0
         while a < len(queries):
             b = max(a + 1, min(a + TEXTS, int(np.searchsorted(work, work[a] + POSTINGS, "right")) - 1))
@@ -114,10 +132,21 @@ class Index:
             often = place[mine] >= 0
             q = np.zeros((b - a, len(self.dense)))
             q[own[often], place[mine][often]] = queries.values[mine][often]
-            at = textops.expand(p.cuts[queries.cols[mine]], lengths[mine])
-            cells = np.repeat(own * n, lengths[mine]) + p.cols[at]
-            sims = np.bincount(cells, weights=np.repeat(queries.values[mine], lengths[mine]) * p.values[at], minlength=(b - a) * n)
-            found = np.round(sims.reshape(b - a, n) + q @ self.dense, 9)
+            entry = textops.expand(tops.cuts[queries.cols[mine]], entries[mine])
+            who, weight = np.repeat(own, entries[mine]), np.repeat(queries.values[mine], entries[mine])
+            cell = who * tops.width + tops.cols[entry]
+            found = q @ self.dense
+            bounds = np.maximum.reduceat(found, self.starts, axis=1)
+            bounds += np.bincount(cell, weights=weight * tops.values[entry], minlength=bounds.size).reshape(bounds.shape)
+            left = bounds > 0
+            if tops.width > FIRST:
+                now = left & (bounds >= np.partition(bounds, tops.width - FIRST, axis=1)[:, [tops.width - FIRST]])
+                self._add(found, now, cell, entry, who, weight)
+                left &= ~now
+            if n > k:
+                left &= bounds >= np.partition(found, n - k, axis=1)[:, [n - k]] - SLACK
+            self._add(found, left, cell, entry, who, weight)
+            found = np.round(found, 9)
             least = np.partition(found, n - k, axis=1)[:, n - k] if n > k else np.zeros(b - a)
             for row, bound in zip(found, least, strict=True):
                 hit = np.flatnonzero((row > 0) & (row >= bound))
@@ -125,6 +154,15 @@ class Index:
                 yield row[best], best
             a = b
 
+    def _add(self, found: np.ndarray, blocks: np.ndarray, cell: np.ndarray, entry: np.ndarray, who: np.ndarray, weight: np.ndarray) -> None:
+        """Adds to found what the entries' postings give in the chosen blocks of each query."""
+        p, hit = self.postings, blocks.ravel()[cell]
+        at = self.heads[entry[hit]]
+        sizes = self.heads[entry[hit] + 1] - at
+        rows = textops.expand(at, sizes)
+        cells = np.repeat(who[hit] * p.width, sizes) + p.cols[rows]
+        found += np.bincount(cells, weights=np.repeat(weight[hit], sizes) * p.values[rows], minlength=found.size).reshape(found.shape)
+
     def nearest(self, terms_: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """search() for one query."""
         return next(self.search(Sparse(np.array([0, len(terms_)]), terms_, weights, len(self.postings)), k))
@@ -140,6 +178,19 @@ def _vectors(vocabulary: np.ndarray, weight: np.ndarray, texts: pa.Array) -> Spa
     return Sparse(np.searchsorted(rows, np.arange(len(texts) + 1)), cols.astype(np.int32), weights / np.maximum(norms[rows], 1e-12), len(vocabulary))
 
 
+def gathered(vectors: Sparse) -> np.ndarray:
+    """An order of the rows in which like ones stand together: halved along their main directions down to blocks."""
+    turned = vectors.turned()
+    at = np.random.default_rng(SEED).standard_normal((len(vectors), DIRECTIONS))
+    for _ in range(ROUNDS):
+        at = np.linalg.qr(np.column_stack([vectors @ (turned @ x) for x in at.T]))[0]
+    parts = [np.arange(len(vectors))]
+    while len(parts[0]) > BLOCK:
+        ways = [at[p, np.argmax(at[p].var(axis=0))] for p in parts]
+        parts = [half for p, way in zip(parts, ways, strict=True) for half in np.array_split(p[np.argsort(way, kind="stable")], 2)]
+    return np.concatenate(parts)
+
+
 def vote(index: Index, sims: np.ndarray, rows: np.ndarray) -> tuple[float, list[tuple[object, float]]]:
     """The share of label 1 among the neighbours, by squared similarity (-1: none), and the three nearest."""
     if not len(sims):
@@ -174,22 +225,23 @@ def ties(examples: Sparse, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     # driver-side work on a bounded sample; copies of a text count once
-    rows = common.labelled_sample(docs, labels, "toxic", sample, SEED, SAMPLE_BYTES).orderBy("doc_id", "text").toPandas()
-    rows["text"] = rows["text"].fillna("")
-    rows = rows.drop_duplicates("text").reset_index(drop=True)
-    if len(rows):
-        rows = rows.iloc[distinct_rows(pa.array(rows["text"], pa.large_string()), rows["y"].to_numpy())].reset_index(drop=True)
-    y = rows["y"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        return {"constant": float(y[0]) if len(y) else 0.0}
+    rows = common.labelled_sample(docs, labels, "toxic", sample, SEED, SAMPLE_BYTES).orderBy("doc_id", "text").toArrow().combine_chunks()
+    texts = pc.fill_null(pa.chunked_array(rows["text"].chunks, pa.string()).cast(pa.large_string()).combine_chunks(), "")
+    y, ids = rows["y"].to_numpy().astype(float), rows["doc_id"].to_numpy()
+    del rows
+    if not len(y):
+        return {"constant": 0.0}
+    at = np.unique(texts.dictionary_encode().indices.to_numpy(), return_index=True)[1]
+    at = at[distinct_rows(texts.take(pa.array(at)), y[at])]
+    texts, y, ids = texts.take(pa.array(at)), y[at], ids[at]
+    if y.min() == y.max():
+        return {"constant": float(y[0])}
     if min(y[np.arange(len(y)) % 4 != 3].sum(), (1 - y[np.arange(len(y)) % 4 != 3]).sum()) == 0:
         return {"constant": float(y.mean())}
     known = labels.where(common.fold("doc_id", 3) != 1).groupBy(F.col("toxic").cast("int").alias("y")).count().where("y in (0, 1)").collect()
     rate = {r["y"]: r["count"] for r in known}
     prior = rate.get(1, 0) / max(1, sum(rate.values()))
     calibrates = np.arange(len(y)) % 4 == 3
-    texts = pa.array(rows["text"], pa.large_string())
-    rows = rows.drop(columns="text")
     vocabulary = np.unique(np.concatenate([np.unique(terms(*common.raw(part))[0]) for part in common.chunks(texts)]))
     if not len(vocabulary):
         return {"constant": prior}
@@ -209,17 +261,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     parts = [_vectors(vocabulary, idf, part) for part in common.chunks(texts)]
     vectors = Sparse(np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v.cuts) for v in parts]))]), np.concatenate([v.cols for v in parts]), np.concatenate([v.values for v in parts]), len(vocabulary))
     del parts, texts
-    tie = ties(vectors.take(np.flatnonzero(~calibrates)), y[~calibrates])
+    examples = np.flatnonzero(~calibrates)
+    examples = examples[gathered(vectors.take(examples))]
+    tie = ties(vectors.take(examples), y[examples])
     truth = y[calibrates]
     weight = np.maximum(np.where(truth == 1, prior / max(truth.sum(), 1), (1 - prior) / max((1 - truth).sum(), 1)) * len(truth), 1e-9)
-    ids = rows["doc_id"][~calibrates].tolist()
+    ids = ids[examples].tolist()
     best: tuple[float, dict] | None = None
     for floor in FLOORS:
         tied = (floor + tie) / (floor + 1)
         values = vectors.values * tied[vectors.cols]
         values /= np.sqrt(np.bincount(vectors.owners(), weights=values**2, minlength=len(vectors)))[vectors.owners()]
         scaled = Sparse(vectors.cuts, vectors.cols, values, vectors.width)
-        index = Index(scaled.take(np.flatnonzero(~calibrates)), y[~calibrates], ids)
+        index = Index(scaled.take(examples), y[examples], ids)
         votes = np.array([vote(index, *near)[0] for near in index.search(scaled.take(np.flatnonzero(calibrates)))])
         error = crossed_error(votes, truth, weight)
         if best is None or error < best[0]:

@@ -94,6 +94,30 @@ def test_nearest_is_exact():
         assert [(-s, i) for s, i in zip(sims, rows, strict=True)] == best
 
 
+def test_block_bounds_lose_no_neighbour():
+    """Examples of ten subjects, gathered into blocks, most of which a search passes over; ties over blocks and rows without terms."""
+    rng = np.random.default_rng(4)
+    subject = rng.integers(0, 10, 1500)
+    vectors = rng.random((1500, 400)) * (rng.random((1500, 400)) < 0.02) * 0.3
+    vectors[np.arange(1500)[:, None], subject[:, None] * 40 + rng.integers(0, 40, (1500, 8))] += 1
+    vectors[:60] = vectors[0]
+    vectors[60:70] = 0
+    vectors[:, 0] += 0.01  # a common term
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    order = toxicity.gathered(toxicity.Sparse.of(vectors))
+    assert sorted(order) == list(range(1500))
+    vectors = vectors[order]
+    index, queries = toxicity.Index(vectors, np.zeros(1500), list(range(1500))), rng.permutation(1500)[:200]
+    seen = []
+    add = index._add
+    index._add = lambda found, blocks, *rest: (seen.append(blocks.sum()), add(found, blocks, *rest))
+    for q, (sims, rows) in zip(queries, index.search(toxicity.Sparse.of(vectors[queries])), strict=True):
+        every = np.round(vectors @ vectors[q], 9)
+        best = np.lexsort((np.arange(1500), -every))[: toxicity.NEIGHBOURS]
+        assert np.allclose(sims, every[best], atol=2e-9) and np.allclose(every[rows], every[best], atol=2e-9)
+    assert sum(seen) < 0.5 * 200 * len(index.starts)
+
+
 def test_toxicity_is_the_vote_of_all_examples(spark):
     """The query's scores against a plain cosine over every example, with equal texts, ties, nulls and clashing columns."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 4000")
