@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import os
 import re
 
 import numpy as np
@@ -54,6 +56,8 @@ class Codec:
     def __init__(self, content: bytes, pattern: str = public_tokenizers.PATTERN):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+        # Spark runs a worker a core; the library's own threads would only contend with them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ranks = read_ranks(content)
         names = byte_characters()
         name = {token: "".join(names[b] for b in token) for token in ranks}
@@ -86,8 +90,8 @@ class Codec:
 
     def _learn(self, pieces: list[str]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.array([len(ids) for ids in encoded], np.int64)
-        flat = np.array([i for ids in encoded for i in ids], np.uint32)
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
         at, end = len(self.index), len(self.index) + len(pieces)
         while end > len(self.piece_starts):
             self.piece_starts, self.piece_lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.piece_starts, self.piece_lengths))
@@ -112,20 +116,19 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         each = [self.pieces(t) for t in texts]
-        flat = [p for pieces in each for p in pieces]
-        known = list(map(self.index.get, flat))
-        if None in known:
-            new = list(dict.fromkeys(p for p, k in zip(flat, known, strict=True) if k is None))
-            if len(self.index) + len(new) > KEPT_PIECES:
-                self._forget()
-                new = list(dict.fromkeys(flat))
+        flat = list(itertools.chain.from_iterable(each))
+        every = dict.fromkeys(flat)
+        new = [p for p in every if p not in self.index]
+        if len(self.index) + len(new) > KEPT_PIECES:
+            self._forget()
+            new = list(every)
+        if new:
             self._learn(new)
-            known = list(map(self.index.__getitem__, flat))
-        rows = np.array(known, np.int64)
+        rows = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         lengths = self.piece_lengths[rows]
         ids = self.piece_ids[textops.expand(self.piece_starts[rows], lengths)]
         totals = np.concatenate([[0], np.cumsum(lengths)])
-        stops = np.cumsum([len(p) for p in each], dtype=np.int64)
+        stops = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
         return ids, np.diff(totals[np.concatenate([[0], stops])])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
