@@ -20,6 +20,10 @@ from quarryframe.operators.rows import quoted
 ORDERED = {"first", "last"}
 ANY_TYPE = {"first", "last", "nunique", "null_count", "count"}
 
+#: The 17 primes below 256 from the largest on; their product is 1.8e39, its logarithm 90.4, that of 10^38 is 87.5.
+PRIMES = [p for p in range(255, 162, -1) if all(p % d for d in range(2, 16))]
+MOST_LOG = 89.0
+
 
 def narrowed(c: Column, field: T.StructField) -> Column:
     """c as the column's type; integers out of its logical range raise."""
@@ -34,14 +38,61 @@ def product(c: Column, field: T.StructField, exact_only: bool = False) -> Column
     """The product, exact for integers, as the column's type; exact_only: as decimal(38,0), in any range."""
     if by_double(field):
         return F.coalesce(F.product(c.cast("double")), F.lit(1.0)).cast("double" if exact_only else field.dataType)
-    # zeros and signs are counted; only factors of 2 and more are listed, and 127 of them overflow any type
-    size = F.abs(c.cast("decimal(38,0)"))
-    total = factors(F.collect_list(F.when(size >= 2, size)))
-    sign = F.when(F.count_if(c < 0) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(38,0)")
-    exact = F.when(F.count_if(c == 0) > 0, F.lit(0)).otherwise((total * sign).cast("decimal(38,0)"))
+    # sums alone, so that groups of any size combine before they are shuffled: see _residue
+    size = F.coalesce(F.sum(F.when(c != 0, F.ln(F.abs(c.cast("double"))))), F.lit(0.0))
+    sign = F.when(F.count_if(c < 0) % 2 == 1, F.lit(-1)).otherwise(F.lit(1))
+    # of the product's size
+    residues = (F.pmod(_residue(c, p) * sign, F.lit(p)) for p in PRIMES)
+    total = _from_residues(F.array(*(F.struct(F.lit(i).alias("i"), r.alias("r")) for i, r in enumerate(residues)))) * sign
+    overflow = F.raise_error(F.lit(f"overflow of a product of {types.label(field)}")).cast("decimal(38,0)")
+    exact = F.when(F.count_if(c == 0) > 0, F.lit(0)).when(size > MOST_LOG, overflow).otherwise(total.cast("decimal(38,0)"))
     return exact if exact_only else narrowed(exact, field)
 
 
+def _table(values: Sequence[int] | Sequence[Sequence[int]]) -> Column:
+    return F.expr("array(" + ", ".join(str(v) if isinstance(v, int) else f"array({', '.join(map(str, v))})" for v in values) + ")")
+
+
+def _powers(p: int) -> list[int]:
+    """The powers of p's least primitive root: all of 1 to p - 1, once each."""
+    for g in range(2, p):
+        out = [1]
+        while (following := out[-1] * g % p) != 1:
+            out.append(following)
+        if len(out) == p - 1:
+            return out
+    raise AssertionError(p)
+
+
+def _residue(c: Column, p: int) -> Column:
+    """The product modulo the prime p: factors that p doesn't divide are powers of one root, whose exponents add up."""
+    powers = _powers(p)
+    exponents = sorted(range(p - 1), key=powers.__getitem__)  # of 1, 2, ...
+    rest = F.pmod(c, F.lit(p)).cast("int")
+    total = F.coalesce(F.sum(F.get(_table([0, *exponents]), rest)), F.lit(0))
+    return F.when(F.coalesce(F.bool_or(rest == 0), F.lit(False)), 0).otherwise(F.get(_table(powers), (total % (p - 1)).cast("int")))
+
+
+def _from_residues(residues: Column) -> Column:
+    """The decimal(38,0) below the product of PRIMES with these residues, an array of structs (i, r)."""
+    inverse = _table([[pow(q, -1, p) if p != q else 0 for q in PRIMES] for p in PRIMES])
+    primes = _table(PRIMES)
+
+    def digit(digits: Column, x: Column) -> Column:
+        """One more digit of the number in the mixed radix of PRIMES, least first."""
+        p = F.get(primes, x["i"])
+        left = F.reduce(
+            F.transform(digits, lambda d, j: F.struct(d.alias("d"), j.alias("j"))),
+            x["r"],
+            lambda t, y: F.pmod((t - y["d"]) * F.get(F.get(inverse, x["i"]), y["j"]), p),
+        )
+        return F.concat(digits, F.array(left))
+
+    placed = F.transform(F.reduce(residues, F.expr("cast(array() as array<int>)"), digit), lambda d, j: F.struct(d.alias("d"), F.get(primes, j).alias("p")))
+    wide = "decimal(38,0)"
+    return F.reduce(F.reverse(placed), F.lit(0).cast(wide), lambda v, x: (v * x["p"].cast(wide) + x["d"].cast(wide)).cast(wide))
+
+
 def by_double(field: T.StructField) -> bool:
     """Whether products go through doubles: floats, and decimals with fractions."""
     return types.is_float(field) or types.label(field) == "decimal"

@@ -2,6 +2,7 @@
 
 import decimal
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -239,3 +240,23 @@ def test_invariants(spark, null_rate):
 def test_print(spark):
     text = frame(spark, [("a", 1.5), (None, 2.0)], "s string, x double").to_string()
     assert "string" in text and "null" in text and "1.5" in text
+
+
+def test_products_of_any_group_are_exact(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for g in range(120):
+        limit, total = rng.choice([2, 5, 300, 10**6]), 1
+        for _ in range(rng.randint(0, 12)):
+            x = rng.randint(-limit, limit) if g % 3 else rng.choice([1, -1, 2, -3, 251, 163, 167])
+            if abs(total * x) < 2**63:
+                total *= x
+                rows.append((g, x))
+        rows.append((g, None))
+        want[g] = total
+    rows += [(200, -(2**63)), (200, 1), (201, 2**63 - 1), (202, 0), *[(202, 2**62)] * 9, *[(203, -1)] * 20_001]
+    want |= {200: -(2**63), 201: 2**63 - 1, 202: 0, 203: -1}
+    f = frame(spark, rows, "k long, v long")
+    assert {r["k"]: r["p"] for r in f.group_by("k").agg(p=("v", "prod")).df.collect()} == want
+    for beyond in ([2**62, 4], [-(2**63), -1], [10**18] * 3, [3] * 500):
+        with pytest.raises(Exception, match="overflow|OVERFLOW"):
+            frame(spark, [(0, x) for x in beyond], "k long, v long").aggregate("v", "prod")
