@@ -1,9 +1,9 @@
 """Mixing sources to target weights (operator 10): subset-sum budget fitting.
 
 Documents are counted by source and exact length in words.  A target of more than a source's size takes
-all of it whole times; of what remains, all but HELD times the longest length is spread over the lengths
-in proportion, and bounded-knapsack dynamic programming over the lengths fits the remaining budget.  Which
-documents of a length are taken follows from a seeded hash of id and text, ranked within slices of that hash,
+all of it whole times; of what remains, all but HELD times the longest length (at first LONG, if that is less)
+is spread over the lengths in proportion, and bounded-knapsack dynamic programming over the lengths fits the
+remaining budget.  Which documents of a length are taken follows from a seeded hash of id and text, ranked within slices of that hash,
 so that no task needs a whole group.
 
 Cases.  Null and empty texts have size 0 and are never taken.  A null source is one source, last in
@@ -14,6 +14,9 @@ columns, whatever their names, don't matter.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +32,10 @@ SEED = 11
 SLICES = 1024
 #: Budget that is left to the dynamic programme, in longest lengths of a source.
 HELD = 8
+#: Length in words up to which a source's longest text sets that budget at once.
+LONG = 1 << 15
+#: Share of a source's budget by which it may be missed without holding back more than LONG sets.
+NEAR = 1e-6
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
@@ -57,35 +64,54 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
     return out
 
 
+def set_bits(x: int) -> Iterator[np.ndarray]:
+    """Positions of the bits of x that are 1, ascending, a slice at a time so that temporaries stay small."""
+    data = np.frombuffer(x.to_bytes((x.bit_length() + 7) // 8, "little"), np.uint8)
+    for start in range(0, len(data), 1 << 17):
+        part = data[start : start + (1 << 17)]
+        if len(at := np.flatnonzero(part)):
+            rows, bits = np.nonzero(np.unpackbits(part[at][:, None], axis=1, bitorder="little"))
+            yield (start + at[rows]) * 8 + bits
+
+
 def nearest_subset(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that their sum comes nearest to budget (ties: below); exact.
 
-    A bounded-knapsack programme over sums up to twice the budget, a bit a sum, longest lengths first; it
-    ends as soon as the budget itself is reached.
+    A bounded-knapsack programme over sums up to twice the budget, in units of the lengths' greatest common
+    divisor, a bit a sum, longest lengths first; it ends as soon as the nearest sum that there can be is reached.
+    Of each sum the item that first reached it is kept, so that memory follows the budget, not the items.
     """
     taken = [0] * len(lengths)
     order = sorted((i for i, n in enumerate(lengths) if n > 0 and counts[i] > 0), key=lambda i: -lengths[i])
     if budget <= 0 or not order:
         return taken
-    top = 2 * budget  # beyond, taking nothing is nearer
+    unit = math.gcd(*(lengths[i] for i in order))
+    low, over = divmod(budget, unit)
+    aim = low if over <= unit - over else low + 1
+    top = 2 * budget // unit  # beyond, taking nothing is nearer
     mask, reached = (1 << (top + 1)) - 1, 1
-    history: list[tuple[int, int, int]] = []  # length index, documents in the item, sums reached before it
+    first = np.zeros(top + 1, np.uint32)  # the item that reached the sum, from 1
+    items: list[tuple[int, int]] = []  # length index, documents in the item
     for i in order:
-        rest, size = min(counts[i], top // lengths[i]), 1
-        while rest > 0 and not reached >> budget & 1:
+        rest, size = min(counts[i], top // (lengths[i] // unit)), 1
+        while rest > 0 and not reached >> aim & 1:
             size = min(size, rest)
-            before, reached = reached, (reached | reached << (size * lengths[i])) & mask
-            history.append((i, size, before))
+            before, reached = reached, (reached | reached << (size * (lengths[i] // unit))) & mask
+            items.append((i, size))
+            for sums in set_bits(reached ^ before):
+                first[sums] = len(items)
             rest -= size
             size *= 2
-    below = (reached & ((1 << (budget + 1)) - 1)).bit_length() - 1
-    over = reached >> (budget + 1)
-    above = budget + (over & -over).bit_length() if over else top + 1
-    goal = below if budget - below <= above - budget else above
-    for i, size, before in reversed(history):
-        if not before >> goal & 1:
-            taken[i] += size
-            goal -= size * lengths[i]
+    goal = aim
+    if not reached >> aim & 1:
+        below = (reached & ((1 << (low + 1)) - 1)).bit_length() - 1
+        higher = reached >> (low + 1)
+        above = low + (higher & -higher).bit_length() if higher else top + 1
+        goal = below if budget - below * unit <= above * unit - budget else above
+    while goal:
+        i, size = items[first[goal] - 1]
+        taken[i] += size
+        goal -= size * (lengths[i] // unit)
     return taken
 
 
@@ -104,19 +130,40 @@ def spread(lengths: list[int], counts: list[int], words: float) -> list[int]:
 def fit(lengths: list[int], counts: list[int], target: float) -> tuple[int, list[int]]:
     """Whole copies of everything, and how many documents of each length are taken once more.
 
-    All but HELD times the longest length is spread in proportion; the remaining budget goes through the
-    programme, so its work follows the longest text, not the source.  It misses the budget only where no
-    choice of the documents that remain meets it.
+    All but HELD times the longest length, or LONG where that is less, is spread in proportion; the remaining
+    budget goes through the programme, so its work follows neither the source nor a few very long texts.
+    Where that misses the budget by more than NEAR of it, the texts beyond LONG are chosen before the others;
+    then more is held back, up to HELD times the longest length.  The nearest try counts.  Each try misses its budget only where no choice of the documents that
+    remain meets it.
     """
     size = sum(n * k for n, k in zip(lengths, counts, strict=True))
     if not size:
         return 0, [0] * len(lengths)
     whole = min(int(target // size), int(MOST))
     rest = min(max(target - whole * size, 0.0), float(size)) if whole < MOST else 0.0
-    extra = spread(lengths, counts, max(0.0, rest - HELD * max(lengths)))
-    budget = round(rest) - sum(n * k for n, k in zip(lengths, extra, strict=True))
-    more = nearest_subset(lengths, [k - e for k, e in zip(counts, extra, strict=True)], max(budget, 0))
-    return whole, [a + b for a, b in zip(extra, more, strict=True)]
+    longest = max(lengths)
+    words = lambda taken: sum(n * k for n, k in zip(lengths, taken, strict=True))
+
+    def tried(fixed: list[int], free: list[int], held: int) -> tuple[float, list[int]]:
+        """How far the choice misses the budget, and the choice: what is fixed, and some of what is free."""
+        some = spread(lengths, free, max(0.0, rest - words(fixed) - HELD * held)) if words(free) else [0] * len(free)
+        taken = [a + b for a, b in zip(fixed, some, strict=True)]
+        more = nearest_subset(lengths, [k - e for k, e in zip(free, some, strict=True)], max(round(rest) - words(taken), 0))
+        taken = [a + b for a, b in zip(taken, more, strict=True)]
+        return abs(round(rest) - words(taken)), taken
+
+    held = min(longest, LONG)
+    best = tried([0] * len(counts), counts, held)
+    if best[0] > NEAR * rest and longest > LONG:
+        # the long texts' share first, by lengths in units of LONG: the others make up for the rounding
+        free = [k if n <= LONG else 0 for n, k in zip(lengths, counts, strict=True)]
+        share = max(rest * (1 - words(free) / size), rest - words(free))
+        apart = nearest_subset([round(n / LONG) for n in lengths], [k - f for k, f in zip(counts, free, strict=True)], round(share / LONG))
+        best = min(best, tried(apart, free, held))
+    while best[0] > NEAR * rest and held < longest and HELD * held < rest:
+        held = min(longest, held * HELD)
+        best = min(best, tried([0] * len(counts), counts, held))
+    return whole, best[1]
 
 
 def allocate(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

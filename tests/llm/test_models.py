@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -268,6 +269,32 @@ def test_large_budgets():
         assert abs(got - min(target, 2 * size)) <= (0.5 if len(lengths) > 100 else max(lengths) / 2)
 
 
+def test_budgets_beside_long_texts(monkeypatch):
+    """One very long text, or lengths with a common divisor, make the programme neither slow nor large."""
+    rng = random.Random(3)
+    counts = [rng.randint(1, 40) for _ in range(3000)]
+    for step, long in ((1, 2_000_000), (7, 0), (7, 2_000_000)):
+        lengths, have = [step * n for n in range(1, 3001)] + [long] * bool(long), counts + [1] * bool(long)
+        size = sum(n * k for n, k in zip(lengths, have, strict=True))
+        tracemalloc.start()
+        whole, extra = mixing.fit(lengths, have, 0.7 * size + 0.3)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        got = whole * size + sum(n * k for n, k in zip(lengths, extra, strict=True))
+        assert all(0 <= e <= k for e, k in zip(extra, have, strict=True))
+        assert abs(got - 0.7 * size - 0.3) <= step / 2 + 0.5 and most < 100e6
+    # where the documents that the first try leaves don't meet the budget, it comes as near as with all held back
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(1, 60), 4)) + [rng.randint(200, 400)]
+        have = [rng.randint(1, 3) for _ in lengths]
+        size, miss = sum(n * k for n, k in zip(lengths, have, strict=True)), []
+        target = float(rng.randint(1, size - 1))
+        for bound in (1 << 15, 1):
+            monkeypatch.setattr(mixing, "LONG", bound)
+            miss.append(abs(target - sum(n * k for n, k in zip(lengths, mixing.fit(lengths, have, target)[1], strict=True))))
+        assert miss[1] <= miss[0]
+
+
 def test_targets():
     t = mixing.targets({"a": 10, "b": 1000, None: 1000})
     assert t["a"] == 20 and abs(sum(t.values()) - 1.5 * 2010) < 1e-6 and all(t[s] <= 2 * n + 1e-9 for s, n in {"b": 1000, None: 1000}.items())
