@@ -99,6 +99,16 @@ def trunc(c: Column, field: T.StructField) -> Column:
     return _whole(c, field, lambda x: F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double to so many places by the product with a power of ten, halves away from zero, as SQL's round does.
+
+    F.round goes by a double's shortest decimal text instead, which differs where the product is a half.
+    """
+    scale = F.lit(10.0**places)
+    found = F.round(c * scale) / scale
+    return F.when(F.abs(found) < float("inf"), found).otherwise(c)
+
+
 FUNCTIONS = {"negate": negate, "abs": absolute, "signum": signum, "square": square, "cube": cube, "reciprocal": reciprocal, "floor": floor, "ceil": ceil, "round": round_, "trunc": trunc}
 
 

@@ -54,7 +54,7 @@ EVENTS = "(SELECT event_id, user_id, nullif(event_type, 'error') AS k, CASE WHEN
 @query("flagship", "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS sum_price, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
 def _(spark, sf):
     items = rows.filter_rows(table(spark, sf, "lineitem"), "l_quantity", "gt", 25.0)
-    return aggregates.grouped(items, "l_returnflag", {"sum_price": ("l_extendedprice", "sum"), "n": ("l_returnflag", "count")}).withColumn("sum_price", F.round("sum_price", 2))
+    return aggregates.grouped(items, "l_returnflag", {"sum_price": ("l_extendedprice", "sum"), "n": ("l_returnflag", "count")}).withColumn("sum_price", scalar.rounded(F.col("sum_price"), 2))
 
 
 @query("select", "SELECT c_name, c_custkey FROM customer")
@@ -178,7 +178,7 @@ _PLACES = {"sum": 2, "mean": 4, "std": 4, "median": 4}
 
 
 def _rounded(c: str, how: str):
-    return F.round(F.col(c), _PLACES[how]).alias(c) if how in _PLACES else F.col(c)
+    return scalar.rounded(F.col(c), _PLACES[how]).alias(c) if how in _PLACES else F.col(c)
 
 
 @query("agg_whole", f"SELECT {', '.join(f'{e} AS {n}' for n, e in _WHOLE.items())} FROM {ORDERS}")
@@ -190,7 +190,7 @@ def _(spark, sf):
 @query("agg_quantile", f"SELECT round(quantile_cont(nv, 0.25), 4) AS q25, round(quantile_cont(nv, 0.9), 4) AS q90 FROM {ORDERS}")
 def _(spark, sf):
     df = orders(spark, sf)
-    return df.agg(*(F.round(aggregates.aggregate(df, "nv", "quantile", q), 4).alias(n) for n, q in (("q25", 0.25), ("q90", 0.9))))
+    return df.agg(*(scalar.rounded(aggregates.aggregate(df, "nv", "quantile", q), 4).alias(n) for n, q in (("q25", 0.25), ("q90", 0.9))))
 
 
 _SIGNS = "CASE WHEN o_orderkey % 997 = 0 THEN 1 ELSE -1 END"
@@ -230,7 +230,7 @@ for _how, _sql in _GROUPED.items():
 
     @query(f"group_{_how}", f"SELECT k, {_sql} AS v FROM {EVENTS} WHERE k IS NOT NULL GROUP BY k")
     def _(spark, sf, how=_how):
-        return aggregates.grouped(events(spark, sf), "k", {"v": ("v", how)}, order=["event_id"]).select("k", _rounded("v", how) if how not in _PLACES else F.round("v", _PLACES[how]).alias("v"))
+        return aggregates.grouped(events(spark, sf), "k", {"v": ("v", how)}, order=["event_id"]).select("k", _rounded("v", how) if how not in _PLACES else scalar.rounded(F.col("v"), _PLACES[how]).alias("v"))
 
 
 @query("group_count", f"SELECT k, count(*) AS count FROM {EVENTS} WHERE k IS NOT NULL GROUP BY k")
@@ -240,7 +240,7 @@ def _(spark, sf):
 
 @query("group_quantile", f"SELECT k, round(quantile_cont(v, 0.75), 4) AS v FROM {EVENTS} WHERE k IS NOT NULL GROUP BY k")
 def _(spark, sf):
-    return aggregates.grouped(events(spark, sf), "k", {"v": ("v", "quantile")}, q=0.75).withColumn("v", F.round("v", 4))
+    return aggregates.grouped(events(spark, sf), "k", {"v": ("v", "quantile")}, q=0.75).withColumn("v", scalar.rounded(F.col("v"), 4))
 
 
 @query("group_prod", "SELECT n_regionkey, CAST(product(n_nationkey + 1) AS BIGINT) AS p FROM nation GROUP BY n_regionkey")
@@ -252,7 +252,7 @@ def _(spark, sf):
 @query("group_multi", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, count(*) AS n, round(avg(l_discount), 6) AS d FROM lineitem GROUP BY ALL")
 def _(spark, sf):
     g = aggregates.grouped(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], {"q": ("l_quantity", "sum"), "n": ("l_quantity", "count"), "d": ("l_discount", "mean")})
-    return g.withColumn("q", F.round("q", 2)).withColumn("d", F.round("d", 6))
+    return g.withColumn("q", scalar.rounded(F.col("q"), 2)).withColumn("d", scalar.rounded(F.col("d"), 6))
 
 
 @query("group_key", "SELECT concat(l_returnflag, '|', l_linestatus) AS _group_key, count(*) AS count FROM lineitem GROUP BY 1")
@@ -271,7 +271,7 @@ _STATS = {"count": "CAST(count({0}) AS DOUBLE)", "mean": "round(avg({0}), 4)", "
 @query("describe", " UNION ALL ".join(f"SELECT '{s}' AS stat, {e.format('c_custkey')} AS c_custkey, {e.format('c_acctbal')} AS c_acctbal FROM customer" for s, e in _STATS.items()))
 def _(spark, sf):
     d = aggregates.describe(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"))
-    return d.select("stat", F.round("c_custkey", 4).alias("c_custkey"), F.round("c_acctbal", 4).alias("c_acctbal"))
+    return d.select("stat", scalar.rounded(F.col("c_custkey"), 4).alias("c_custkey"), scalar.rounded(F.col("c_acctbal"), 4).alias("c_acctbal"))
 
 
 # positional columns
@@ -466,7 +466,7 @@ for _name, _sql in _SCALAR.items():
     def _(spark, sf, name=_name):
         e = table(spark, sf, "events").select("event_id", F.expr(_CELLS).alias("v"))
         out = scalar.mapped(e, "v", name)
-        return out.withColumn("v", F.round("v", {"square": 4, "cube": 4, "reciprocal": 8}[name])) if name in ("square", "cube", "reciprocal") else out
+        return out.withColumn("v", scalar.rounded(F.col("v"), {"square": 4, "cube": 4, "reciprocal": 8}[name])) if name in ("square", "cube", "reciprocal") else out
 
 
 _EDGES = "CASE event_id % 5 WHEN 0 THEN -2147483648 WHEN 1 THEN 2147483647 WHEN 2 THEN 0 WHEN 3 THEN NULL ELSE CAST(event_id AS INTEGER) END"
@@ -662,7 +662,7 @@ _TEXTFILE = f"(SELECT event_id, k, round(v, 3) AS v, n FROM {EVENTS})"
 
 
 def _textfile(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", "k", F.round("v", 3).alias("v"), "n")
+    return events(spark, sf).select("event_id", "k", scalar.rounded(F.col("v"), 3).alias("v"), "n")
 
 
 @query("csv_roundtrip", f"SELECT event_id, coalesce(k, '') AS k, v, n FROM {_TEXTFILE}")

@@ -4,6 +4,7 @@ import decimal
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -175,6 +176,15 @@ def test_scalars(spark):
     assert cells(f.replace("x", (5, 6), (6, 7), (0, 1)), "x") == [low, 6, None, 1]
 
 
+def test_roundings_are_those_of_sql(spark):
+    values = [6896551.724137932, 3389830.5084745763, -1904761.9047619049, 66666666.66666667, 102.4, 1e305]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalar.rounded(1 / F.col("v"), 8).alias("r"), scalar.rounded(F.col("v"), 4).alias("x"))
+    con = duckdb.connect()
+    assert [tuple(r) for r in df.collect()] == [con.execute("SELECT v, round(1 / v, 8), round(v, 4) FROM (SELECT CAST(? AS DOUBLE) AS v)", [v]).fetchone() for v in values]
+    odd = spark.createDataFrame([(math.inf,), (None,), (-math.inf,)], "v double").select(scalar.rounded(F.col("v"), 2).alias("r"))
+    assert [r["r"] for r in odd.collect()] == [math.inf, None, -math.inf]
+
+
 def test_nulls_keep_nan(spark):
     f = frame(spark, [(math.nan,), (None,)], "x double")
     assert nulls.drop_nulls(f.df, "x").count() == 1
