@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from quarryframe import types
 from quarryframe.errors import FrameError
 from quarryframe.operators.aggregates import by_double, factors, narrowed, product
-from quarryframe.operators.rows import _positions, ascending, before_ranges, dealt_by_range, quoted, with_ranges
+from quarryframe.operators.rows import _positions, ascending, before_ranges, dealt_by_range, descending, quoted, with_ranges
 
 
 def _exact(c: Column, field: T.StructField) -> Column:
@@ -128,11 +128,9 @@ def fill(df: DataFrame, name: str, order: Sequence[str], forward: bool = True, p
     types.field_of(df, name)
     c = quoted(name)
     ranged = df.withColumn("__range", F.lit(0)) if partition_by else with_ranges(df, order)
-    ordered = Window.partitionBy("__range", *(quoted(p) for p in partition_by)).orderBy(*ascending(order))
-    if forward:
-        value = F.last(c, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        value = F.first(c, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    # backward is forward in falling order: a frame that ends at the partition's end is folded anew for every row
+    ordered = Window.partitionBy("__range", *(quoted(p) for p in partition_by)).orderBy(*(ascending(order) if forward else descending(order)))
+    value = F.last(c, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     if not partition_by:
         key = F.when(c.isNotNull(), F.struct(*(F.struct(quoted(o).isNull().alias("n"), quoted(o).alias("v")) for o in order)))
         edge = F.max_by(c, key) if forward else F.min_by(c, key)

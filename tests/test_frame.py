@@ -110,6 +110,16 @@ def test_positional(spark):
         u.diff("x", 1).df.collect()
 
 
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_fills_are_linear(spark, by):
+    """A range of n rows is one pass in both directions, not n passes over what follows."""
+    f = Frame(spark.range(60_000).select(F.col("id").alias("i"), F.lit(1).alias("g"), F.when(F.col("id") % 50_000 == 49_999, F.col("id")).alias("x")), ["i"])
+    plan = positional.fill(f.df, "x", ["i"], forward=False, partition_by=by)
+    assert "unboundedfollowing" not in plan._jdf.queryExecution().toString().lower().replace("$()", "")
+    found = plan.agg(F.count_if(F.col("x") == 49_999), F.count_if(F.col("x").isNull())).first()
+    assert tuple(found) == (50_000, 10_000)
+
+
 def test_sort_and_slices(spark):
     f = frame(spark, [(2,), (None,), (1,)], "x int")
     assert [r["x"] for r in f.sort("x").df.collect()] == [1, 2, None]
