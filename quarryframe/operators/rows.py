@@ -158,12 +158,13 @@ def with_ranges(df: DataFrame, order: Sequence[str], name: str = "__range", desc
         return F.struct(*(e.alias(f"k{i}") for i, e in enumerate(each)))
 
     def reached(cut: Column) -> Column:
-        """Whether the row stands at the cut or after it."""
-        if not descending_:
-            return cut <= F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
-        rest = cut <= F.struct(cut["k0"].alias("k0"), cut["k1"].alias("k1"), *(k.alias(f"k{i}") for i, k in enumerate(keys) if i > 1))
-        later = cut["k0"].eqNullSafe(keys[0]) & (F.coalesce(cut["k1"] > keys[1], F.lit(False)) | (cut["k1"].eqNullSafe(keys[1]) & rest))
-        return (cut["k0"] < keys[0]) | later
+        """Whether the row stands at the cut or after it; the first key that differs decides, so no struct is made."""
+        out = F.lit(True)
+        for i in range(len(keys) - 2, -1, -2):
+            (flag, value), (cut_flag, cut_value) = keys[i : i + 2], (cut[f"k{i}"], cut[f"k{i + 1}"])
+            earlier = cut_value > value if descending_ and i == 0 else cut_value < value
+            out = (cut_flag < flag) | ((cut_flag == flag) & (F.coalesce(earlier, F.lit(False)) | (cut_value.eqNullSafe(value) & out)))
+        return out
 
     # two steps of a search: blocks of cuts by their first, then within a block
     width = max(1, round(len(cuts) ** 0.5))
@@ -201,8 +202,9 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "_pos", desce
     return _positions(ranged, df, order, name, descending_).drop("__range")
 
 
-def _positions(ranged: DataFrame, df: DataFrame, order: Sequence[str], name: str, descending_: bool = False) -> DataFrame:
-    offsets = before_ranges(ranged, F.count(F.lit(1)), lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0)))
+def _positions(ranged: DataFrame, df: DataFrame, order: Sequence[str], name: str, descending_: bool = False, counted: DataFrame | None = None) -> DataFrame:
+    """counted: what the ranges are counted from, if not from `ranged`, a cheaper frame with the same rows and __range."""
+    offsets = before_ranges(ranged if counted is None else counted, F.count(F.lit(1)), lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0)))
     first = sort_key(df, order[0])
     keys = [first.desc_nulls_last() if descending_ else first.asc_nulls_last(), *ascending(order[1:])]
     window = Window.partitionBy("__range").orderBy(*keys)
@@ -244,8 +246,13 @@ def sort_key(df: DataFrame, name: str) -> Column:
 
 def arg_sort(df: DataFrame, name: str, ascending_: bool, order: Sequence[str]) -> DataFrame:
     """(rank, position): the positions of the rows in sorted order, nulls last."""
-    numbered = with_position(df, order, "position").select(quoted(name).alias("key"), "position")
-    return with_position(numbered, ["key", "position"], "rank", descending_=not ascending_).select("rank", "position")
+    # positions rise with the order keys, so both ranges of a row are known before it has a position
+    keys = [f"__o{i}" for i in range(len(order))]
+    lean = df.select(quoted(name).alias("key"), *(quoted(o).alias(k) for o, k in zip(order, keys, strict=True)))
+    sorted_ = with_ranges(lean, ["key", *keys], "__sorted", descending_=not ascending_)
+    numbered = _positions(with_ranges(sorted_, keys), lean, keys, "position").select("key", "position", F.col("__sorted").alias("__range"))
+    counted = sorted_.select(F.col("__sorted").alias("__range"))
+    return _positions(numbered, numbered, ["key", "position"], "rank", not ascending_, counted).select("rank", "position")
 
 
 def rows_where(df: DataFrame, name: str, op: str, value: object, order: Sequence[str]) -> DataFrame:

@@ -136,6 +136,18 @@ def test_sort_and_slices(spark):
     assert [r["position"] for r in words.arg_sort("x").orderBy("rank").collect()] == [1, 3, 0, 2]
 
 
+def test_arg_sort_numbers_rows_once(spark):
+    """The second order's ranges are taken from the frame itself, not from its numbered copy: two windows of rows, two exchanges by range."""
+    data = [(None if i % 7 == 0 else (i * 37) % 50 + 0.5,) for i in range(500)]
+    f = frame(spark, data, "x double")
+    for up in (True, False):
+        found = f.arg_sort("x", up)
+        expected = sorted(range(500), key=lambda i: (data[i][0] is None, (data[i][0] or 0) * (1 if up else -1), i))
+        assert [r["position"] for r in found.orderBy("rank").collect()] == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("row_number") == 2
+
+
 def test_unique_and_concat(spark):
     f = frame(spark, [("a",), (None,), ("a",), (None,), ("b",)], "x string")
     assert sorted(cells(f.unique("x"), "i")) == [0, 1, 4]
