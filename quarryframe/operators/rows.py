@@ -312,19 +312,17 @@ def same_series(a: DataFrame, left: str, b: DataFrame, right: str, order: Sequen
 
 
 def same(a: DataFrame, b: DataFrame, order: Sequence[str]) -> bool:
-    """Whether two frames have the same columns, types and rows in order."""
+    """Whether two frames have the same columns, types and rows in order; ties among all order keys may stand in any order."""
     if a.columns != b.columns or [f.dataType for f in a.schema] != [f.dataType for f in b.schema]:
         return False
-    left, right = with_position(a, order, "__pos"), with_position(b, order, "__pos")
-    named = right.select(F.col("__pos").alias("__other"), *(quoted(c).alias(f"__b{i}") for i, c in enumerate(b.columns)))
-    both = left.join(named, F.col("__pos") == F.col("__other"), "full")
-    def plain(c: Column, name: str) -> Column:
-        return F.map_entries(c) if isinstance(types.field_of(a, name).dataType, T.MapType) else c
-
-    equal = F.col("__pos").isNotNull() & F.col("__other").isNotNull()
-    for i, c in enumerate(a.columns):
-        equal &= plain(quoted(c), c).eqNullSafe(plain(F.col(f"__b{i}"), c))
-    return both.where(~equal).limit(1).count() == 0
+    missing(a, order)
+    # the order keys are columns, so frames of the same rows, each as often, are the same in order
+    def plain(df: DataFrame, side: int) -> DataFrame:
+        cells = (F.map_entries(quoted(c)) if isinstance(types.field_of(df, c).dataType, T.MapType) else quoted(c) for c in df.columns)
+        return df.select(*(c.alias(f"c{i}") for i, c in enumerate(cells)), F.lit(side).alias("side"))
+
+    both = plain(a, 1).unionAll(plain(b, -1))
+    return not both.groupBy(*both.columns[:-1]).agg(F.sum("side").alias("more")).where("more != 0").limit(1).count()
 
 
 def null_counts(df: DataFrame) -> DataFrame:

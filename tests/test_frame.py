@@ -136,6 +136,22 @@ def test_sort_and_slices(spark):
     assert [r["position"] for r in words.arg_sort("x").orderBy("rank").collect()] == [1, 3, 0, 2]
 
 
+def test_same_needs_no_positions(spark):
+    """Frames are compared by one grouping of their rows: no windows, no join."""
+    a = spark.createDataFrame([(1, "x", math.nan), (2, None, 0.0), (2, "y", None), (3, "z", 1.0)], "i long, s string, v double")
+    assert rows.same(a, a.repartition(3), ["i"])
+    assert rows.same(a, a.orderBy(F.desc("s")), ["i"])  # ties of i in any order
+    assert not rows.same(a, a.unionAll(a.where("i = 1")), ["i"]) and not rows.same(a.unionAll(a.where("i = 1")), a, ["i"])
+    assert not rows.same(a, a.withColumn("v", F.coalesce("v", F.lit(7.0))), ["i"])
+    assert not rows.same(a.unionAll(a.where("i = 1")), a.unionAll(a.where("i = 3")), ["i"])
+    assert not rows.same(a, a.withColumn("i", F.col("i").cast("int")), ["i"])
+    assert rows.same(spark.sql("SELECT 1 AS i, map('a', 1) AS m"), spark.sql("SELECT 1 AS i, map('a', 1) AS m"), ["i"])
+    with pytest.raises(errors.ColumnNotFound):
+        rows.same(a, a, ["nope"])
+    assert rows.same_series(a.where("i != 2"), "v", a.where("i != 2").withColumn("j", F.col("i") + 5), "v", ["i"], ["j"])
+    assert not rows.same_series(a.where("i != 2"), "v", a.where("i != 2").withColumn("j", -F.col("i")), "v", ["i"], ["j"])
+
+
 def test_arg_sort_numbers_rows_once(spark):
     """The second order's ranges are taken from the frame itself, not from its numbered copy: two windows of rows, two exchanges by range."""
     data = [(None if i % 7 == 0 else (i * 37) % 50 + 0.5,) for i in range(500)]
