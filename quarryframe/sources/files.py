@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,62 @@ def save_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def scratch(path: str) -> str:
+    """A new folder beside the path, so in the same file system."""
+    return f"{path.rstrip('/')}-{uuid.uuid4().hex}.parts"
+
+
+def part_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a written folder, in order of the tasks; none if there is no folder."""
+    where, system = _path(spark, folder)
+    if not system.exists(where):
+        return []
+    found = [(s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in system.listStatus(where) if s.isFile()]
+    return [(path, size) for name, path, size in sorted((f for f in found if f[0].startswith("part-")), key=lambda f: int(f[0].split("-")[1])) if size]
+
+
+def save_joined(spark: SparkSession, path: str, pieces: Iterable[bytes | tuple[str, int, int]]) -> None:
+    """One file of bytes and of stretches (path, start, length) of other files, which are copied as streams."""
+    where, system = _path(spark, path)
+    copy = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge
+    out, source, opened = system.create(where, True), None, None
+    try:
+        for piece in pieces:
+            if isinstance(piece, bytes):
+                for at in range(0, len(piece), 1 << 20):
+                    out.write(bytearray(piece[at : at + (1 << 20)]))
+                continue
+            name, start, length = piece
+            if name != opened:
+                if source is not None:
+                    source.close()
+                part, parts = _path(spark, name)
+                source, opened = parts.open(part), name
+            source.seek(start)
+            copy(source, out, 0, length)
+    finally:
+        if source is not None:
+            source.close()
+        out.close()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    where, system = _path(spark, folder)
+    system.delete(where, True)
+
+
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """The start of the first file at the path that isn't empty."""
+    for row in spark.read.format("binaryFile").load(path).where("length > 0").select("path").orderBy("path").limit(1).collect():
+        where, system = _path(spark, row["path"])
+        source = system.open(where)
+        try:
+            return bytes(source.readNBytes(n))
+        finally:
+            source.close()
+    return b""
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content binary), a row a file."""
     return spark.read.format("binaryFile").load(path).select("path", "content")

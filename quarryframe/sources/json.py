@@ -8,25 +8,44 @@ keys of the text itself tell, as variants sort theirs.  Rows are in order by `po
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryframe import types
-from quarryframe.errors import FrameError, RaggedFrame
+from quarryframe.errors import FrameError
 from quarryframe.operators.rows import quoted
-from quarryframe.sources.files import save_bytes, with_file_position
+from quarryframe.sources.documents import BLOCK, read_cells
+from quarryframe.sources.files import first_bytes, part_files, remove, save_joined, scratch, with_file_position
+
+#: Bytes that tell most layouts.
+HEAD = 1 << 16
 
 
 def detect(spark: SparkSession, path: str) -> str:
     """rows if the text starts with `[`; ndjson if two lines or more start with `{`; else columns."""
-    lines = spark.read.text(path).select(F.ltrim(F.col("value")).alias("v")).where("v != ''")
-    first = lines.limit(1).collect()
-    if not first:
-        return "empty"
-    if first[0]["v"].startswith("["):
+    head = first_bytes(spark, path, HEAD)
+    start = head.lstrip()[:1]
+    if start == b"[":
         return "rows"
-    return "ndjson" if len(lines.where("startswith(v, '{')").limit(2).collect()) == 2 else "columns"
+    if start and len(re.findall(rb"(?:^|[\r\n]) *\{", head)) > 1:
+        return "ndjson"
+    # a document may be one line, so pieces between commas are read, not lines
+    read = spark.read.option("lineSep", ",").text(path)
+    pieces = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    if not start:
+        first = pieces.select(F.ltrim(F.regexp_replace("value", r"[\r\n\t]", "")).alias("v"), "at").where("v != ''").orderBy("at").limit(1).collect()
+        if not first:
+            return "empty"
+        if first[0]["v"].startswith("["):
+            return "rows"
+    later = pieces.agg(F.sum(F.regexp_count("value", F.lit(r"[\r\n] *\{")))).first()[0] or 0
+    starts = pieces.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("v"))
+    firsts = starts.where(F.startswith(F.ltrim("v"), F.lit("{"))).count()
+    return "ndjson" if later + firsts > 1 else "columns"
 
 
 def _member(v: Column, key: str) -> Column:
@@ -42,11 +61,10 @@ def read_json(spark: SparkSession, path: str, layout: str | None = None, positio
         lines = with_file_position(spark.read.text(path), "__pos").where("trim(value) != ''")
         cells = _objects(lines.select("__pos", "value"))
     elif layout == "rows":
-        whole = spark.read.text(path, wholetext=True)
-        items = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
-        cells = _objects(whole.select(F.posexplode(items)).select(F.col("pos").cast("long").alias("__pos"), F.col("col").alias("value")))
+        _, arrays = read_cells(spark, path, keyed=False)
+        cells = _objects(arrays.select("at", F.posexplode("cells")).select((F.col("at") + F.col("pos")).alias("__pos"), F.col("col").alias("value")))
     elif layout == "columns":
-        cells = _columns(spark.read.text(path, wholetext=True))
+        cells = _columns(*read_cells(spark, path, keyed=True))
     else:
         raise FrameError(f"no layout {layout!r}")
     names = [c for c in cells.columns if c != "__pos"]
@@ -66,15 +84,11 @@ def _objects(texts: DataFrame) -> DataFrame:
     return rows.select("__pos", *(_member(F.col("v"), k).alias(k) for k in keys))
 
 
-def _columns(texts: DataFrame) -> DataFrame:
-    keys = [r["key"] for r in texts.select(F.posexplode(F.json_object_keys("value")).alias("at", "key")).groupBy("key").agg(F.min("at").alias("at")).orderBy("at").collect()]
-    whole = texts.select(F.parse_json("value").alias("v"))
-    arrays = whole.select(*(F.variant_get(F.col("v"), "$['" + k.replace("'", "\\'") + "']", "array<variant>").alias(f"a{i}") for i, k in enumerate(keys)))
-    sizes = arrays.select(*(F.size(f"a{i}").alias(f"s{i}") for i in range(len(keys)))).collect()
-    if any(len(set(row)) > 1 for row in sizes):
-        raise RaggedFrame("columns of unequal length")
-    zipped = arrays.select(F.posexplode(F.arrays_zip(*(f"a{i}" for i in range(len(keys))))))
-    return zipped.select(F.col("pos").cast("long").alias("__pos"), *(F.col(f"col.a{i}").alias(k) for i, k in enumerate(keys)))
+def _columns(keys: list[str], arrays: DataFrame) -> DataFrame:
+    """Cells of one block of row numbers meet, column by column; the arrays are known to be equally long."""
+    blocks = arrays.groupBy("file", F.floor(F.col("at") / BLOCK).alias("block")).agg(*(F.flatten(F.array_sort(F.collect_list(F.when(F.col("key") == i, F.struct("at", "cells"))))["cells"]).alias(f"a{i}") for i in range(len(keys))))
+    zipped = blocks.select("block", F.posexplode(F.arrays_zip(*(f"a{i}" for i in range(len(keys)))))) if keys else blocks.select("block", F.lit(0).alias("pos")).limit(0)
+    return zipped.select((F.col("block") * BLOCK + F.col("pos")).cast("long").alias("__pos"), *(F.parse_json(F.col(f"col.a{i}")).alias(k) for i, k in enumerate(keys)))
 
 
 def _typed(c: Column, kinds: set[str]) -> Column:
@@ -117,14 +131,38 @@ def to_json_string(df: DataFrame, layout: str = "rows", compat: bool = False) ->
     if layout != "columns":
         raise FrameError(f"no layout {layout!r}")
     cells = df.select(*(F.get_json_object(F.to_json(F.struct(F.array(_value(df, c, compat)).alias("a")), {"ignoreNullFields": "false"}), "$.a").alias(c) for c in df.columns)).collect()
-    import json
-
     return "{" + ",".join(f"{json.dumps(c, ensure_ascii=False)}:[" + ",".join(r[i][1:-1] for r in cells) + "]" for i, c in enumerate(df.columns)) + "}"
 
 
 def write_json(df: DataFrame, path: str, layout: str = "ndjson", compat: bool = False) -> None:
-    """ndjson: a folder of files; the other layouts are one document, a single file through the driver."""
+    """ndjson: a folder of files; the other layouts are one document, a single file that tasks write in parts."""
     if layout == "ndjson":
         df.select(_object(df, compat).alias("value")).write.mode("overwrite").text(path)
-    else:
-        save_bytes(df.sparkSession, path, to_json_string(df, layout, compat).encode())
+        return
+    spark, folder = df.sparkSession, scratch(path)
+    try:
+        if layout == "rows":
+            df.select(_object(df, compat).alias("value")).write.option("lineSep", ",").text(folder)
+            save_joined(spark, path, [b"[", *_parted(spark, folder), b"]"])
+        elif layout == "columns":
+            # {"a":[cell]} without what is around the cell
+            texts = [F.to_json(F.struct(F.array(_value(df, c, compat)).alias("a")), {"ignoreNullFields": "false"}) for c in df.columns]
+            cells = [F.substring(t, F.lit(7), F.length(t) - 8) for t in texts]
+            each = df.select(F.monotonically_increasing_id().alias("at"), F.array(*cells).alias("cells")).select("at", F.posexplode("cells").alias("c", "value"))
+            if df.columns:
+                each.sortWithinPartitions("c", "at").select("c", "value").write.partitionBy("c").option("lineSep", ",").text(folder)
+            pieces = []
+            for i, c in enumerate(df.columns):
+                name = json.dumps(c, ensure_ascii=False).encode()
+                pieces += [b"," if i else b"{", name, b":[", *_parted(spark, f"{folder}/c={i}"), b"]"]
+            save_joined(spark, path, [*(pieces or [b"{"]), b"}"])
+        else:
+            raise FrameError(f"no layout {layout!r}")
+    finally:
+        remove(spark, folder)
+
+
+def _parted(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """The folder's files in order, without the comma at the end of the last."""
+    found = part_files(spark, folder)
+    return [(path, 0, size - (i == len(found) - 1)) for i, (path, size) in enumerate(found)]

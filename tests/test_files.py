@@ -2,11 +2,14 @@
 
 import datetime as dt
 import decimal
+import json as plain
 import struct
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +80,39 @@ def test_json_strings(spark):
     assert json.to_json_string(df, "columns") == '{"a":[1,null],"b":[true,false],"s":["é\\n",null]}'
 
 
+@pytest.mark.parametrize("layout", ["rows", "columns"])
+def test_json_documents_are_cut_anywhere(spark, tmp_path, layout):
+    """Splits of a few bytes cut within texts, escapes, keys and nested cells; nothing is read whole."""
+    cells = [(i, ['a,b"\\\\', "é{[,", None, "}]\\n", "," * 40, ""][i % 6], None if i % 5 == 0 else i / 4, [i, {"x": ",", "y": [1, "]"]}]) for i in range(60)]
+    names = ["i", 'k,"e[y', "v", "n"]
+    data = [dict(zip(names, c, strict=True)) for c in cells] if layout == "rows" else {n: [c[j] for c in cells] for j, n in enumerate(names)}
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, indent in (("37b", None), ("101b", 1), ("1m", None)):
+            path = write(tmp_path / f"{layout}{size}.json", " " + plain.dumps(data, ensure_ascii=False, indent=indent) + "\n")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert indent or json.detect(spark, path) == layout
+            got = json.read_json(spark, path, layout, position="at").orderBy("at").collect()
+            assert [(r["at"], r["i"], r[names[1]], r["v"], plain.loads(r["n"])) for r in got] == [(i, *c) for i, c in enumerate(cells)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    for wrong in ("[{}", '[{"a": 1}]]', '[{"a": 1},]', '{"a": [1}') if layout == "rows" else ('{"a": [1]', '{"a": 1}', '{"a": [1,,2]}', '{"a": [1], "a": [2]}'):
+        with pytest.raises((errors.FrameError, PySparkException, Py4JJavaError)):
+            json.read_json(spark, write(tmp_path / "wrong.json", wrong), layout).collect()
+
+
+@pytest.mark.parametrize("layout", ["rows", "columns"])
+def test_json_documents_are_written_by_tasks(spark, tmp_path, monkeypatch, layout):
+    df = spark.range(3000, numPartitions=7).select("id", F.when(F.col("id") % 3 != 0, F.concat(F.lit('é,"'), "id")).alias("s"), (F.col("id") % 2 == 0).alias("b"))
+    expected = json.to_json_string(df, layout, compat=True)
+    monkeypatch.setattr(json, "to_json_string", None)  # nothing goes through the driver
+    path = tmp_path / "x.json"
+    json.write_json(df, str(path), layout, compat=True)
+    assert path.read_text() == expected and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x.json"]
+    json.write_json(df.limit(0), str(path), layout)
+    assert path.read_text() == ("[]" if layout == "rows" else '{"id":[],"s":[],"b":[]}') and json.read_json(spark, str(path)).count() == 0
+
+
 def test_parquet_compat(spark, tmp_path):
     t = pa.table({
         "h": pa.array([1.5, None], pa.float16()),
