@@ -151,6 +151,17 @@ def test_tdf_round_trip(spark, tmp_path):
     assert back.collect() == df.collect()
 
 
+def test_tdf_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Blocks of rows that end within a byte of validity, as the same bytes as the frame's on the driver."""
+    df = spark.range(1003, numPartitions=5).select("id", F.when(F.col("id") % 3 != 0, F.concat(F.lit("é\n"), "id")).alias("s"), F.when(F.col("id") > 900, F.col("id") / 2).alias("v"), F.array("id").alias("n"))
+    for frame in (df, df.limit(0), spark.createDataFrame(CELLS * 9, WIDE).repartition(4).sortWithinPartitions("i").localCheckpoint()):
+        expected = tdf.to_tdf_bytes(frame)
+        with monkeypatch.context() as m:
+            m.setattr(tdf, "to_tdf_bytes", None)  # nothing goes through the driver
+            tdf.write_tdf(frame, str(tmp_path / "x.tdf"))
+        assert (tmp_path / "x.tdf").read_bytes() == expected and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["x.tdf"]
+
+
 def test_tdf_header(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
     data = tdf.to_tdf_bytes(df)
