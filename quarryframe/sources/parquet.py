@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from quarryframe.sources.files import whole_files
 
+#: Rows of a batch that is handed to Spark.
+BATCH = 1 << 16
 CODECS = {"uncompressed": "uncompressed", "none": "uncompressed", "snappy": "snappy"}
 
 
@@ -63,13 +65,22 @@ def _converted(column: pa.ChunkedArray, kind: pa.DataType, to: pa.DataType, name
     return column.cast(to)
 
 
+def _batches(content: pa.Buffer, target: pa.Schema, logical: list[str | None]) -> Iterator[pa.RecordBatch]:
+    """A file's rows; its bytes aren't copied, and no more than a batch is decoded at a time."""
+    file = pq.ParquetFile(pa.BufferReader(content), pre_buffer=False)
+    for part in file.iter_batches(BATCH, use_threads=False):
+        table = pa.Table.from_batches([part])
+        columns = [_converted(table[f.name], table.schema.field(f.name).type, f.type, n) for f, n in zip(target, logical, strict=True)]
+        yield from pa.table(columns, names=target.names).combine_chunks().to_batches()
+
+
 def _read_by_arrow(spark: SparkSession, path: str) -> DataFrame:
     files = whole_files(spark, path)
 
     def schemas(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                found = pq.read_schema(io.BytesIO(content))
+            for content in batch.column("content"):
+                found = pq.read_schema(pa.BufferReader(content.as_buffer()))
                 sink = pa.schema([pa.field(f.name, _plain(f.type)[0], f.nullable) for f in found]).serialize().to_pybytes()
                 yield pa.RecordBatch.from_arrays([pa.array([sink]), pa.array([json.dumps([_plain(f.type)[1] for f in found])])], ["schema", "logical"])
 
@@ -80,10 +91,8 @@ def _read_by_arrow(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                table = pq.read_table(io.BytesIO(content))
-                columns = [_converted(table[f.name], table.schema.field(f.name).type, f.type, n) for f, n in zip(target, logical, strict=True)]
-                yield from pa.table(columns, names=target.names).combine_chunks().to_batches()
+            for content in batch.column("content"):
+                yield from _batches(content.as_buffer(), target, logical)
 
     out = files.mapInArrow(rows, schema)
     return out.select(*(F.col("`" + f.name + "`").alias(f.name, metadata=f.metadata) for f in schema))

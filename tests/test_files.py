@@ -129,6 +129,18 @@ def test_parquet_compat(spark, tmp_path):
     assert rows(df)[1] == (None,) * 7
 
 
+def test_parquet_compat_reads_in_batches(spark, tmp_path):
+    """Files aren't decoded whole: a file of several batches and row groups, and an empty one."""
+    t = pa.table({"i": pa.array(range(200_000)), "h": pa.array([None if i % 3 == 0 else i % 100 for i in range(200_000)], pa.float32()).cast(pa.float16()), "s": pa.array([str(i % 7) for i in range(200_000)])})
+    pq.write_table(t, tmp_path / "a.parquet", row_group_size=150_000)
+    pq.write_table(t.slice(0, 0), tmp_path / "b.parquet")
+    target = pa.schema([("i", pa.int64()), ("h", pa.float32()), ("s", pa.string())])
+    sizes = [b.num_rows for b in parquet._batches(pa.py_buffer((tmp_path / "a.parquet").read_bytes()), target, [None, "f16", None])]
+    assert sum(sizes) == 200_000 and max(sizes) <= parquet.BATCH
+    df = parquet.read_parquet(spark, str(tmp_path), compat=True)
+    assert df.agg(F.sum("i"), F.count("h"), F.sum("h"), F.count_distinct("s")).first() == (sum(range(200_000)), 133_333, float(sum(i % 100 for i in range(200_000) if i % 3)), 7)
+
+
 WIDE = T.StructType([
     T.StructField("b", T.BooleanType()), T.StructField("i", T.IntegerType()), T.StructField("l", T.LongType()), T.StructField("f", T.FloatType()), T.StructField("d", T.DoubleType()), T.StructField("s", T.StringType()), T.StructField("day", T.DateType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("dec", T.DecimalType(20, 3)), T.StructField("bin", T.BinaryType()),
     T.StructField("u", T.LongType(), True, {"logical": "u32"}), T.StructField("id", T.StringType(), True, {"logical": "uuid"}),
